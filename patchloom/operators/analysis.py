@@ -15,7 +15,7 @@ from patchloom import fixed_values as fixed
 from patchloom.functions.language import detect_language
 from patchloom.functions.text import contains_any, lines_text
 from patchloom.operators.elements import ELEMENTS, Patterns, structural_changes
-from patchloom.operators.parse import DIFF_ID
+from patchloom.operators.parse import DIFF_ID, fixed_columns
 
 
 def _texts(*candidates: Column) -> Column:
@@ -153,8 +153,7 @@ def analyze_files(
         named.withColumn("language", detect_language(F.col("filename"))),
         **({"patterns": patterns} if patterns else {}),
     )
-    failed = F.col("matched_without_name") if compat else F.lit(False)
-    counted = found.select(
+    carried = [
         *keys,
         "file_seq",
         "filename",
@@ -163,6 +162,10 @@ def analyze_files(
         "language",
         "lines_added",
         "lines_removed",
+    ]
+    failed = F.col("matched_without_name") if compat else F.lit(False)
+    counted = found.select(
+        *carried,
         "elements",
         F.lower(lines_text(F.col("added_lines"))).alias("added_text"),
         F.lower(lines_text(F.col("removed_lines"))).alias("removed_text"),
@@ -173,32 +176,17 @@ def analyze_files(
         ),
         failed.alias("failed"),
     )
-    judged = counted.select(
-        *keys,
-        "file_seq",
-        "filename",
-        "change_type",
-        "old_filename",
-        "language",
-        "lines_added",
-        "lines_removed",
-        "elements",
-        "failed",
-        _purposes().alias("found_purposes"),
-        _impacts().alias("found_impacts"),
-        _score().alias("score"),
+    judged = fixed_columns(
+        counted,
+        [*carried, "elements", "failed"],
+        found_purposes=_purposes(),
+        found_impacts=_impacts(),
+        score=_score(),
     )
     is_file, ok = F.col("filename").isNotNull(), ~F.col("failed")
     when_file = lambda value: F.when(is_file, value)
     listed = judged.select(
-        *keys,
-        "file_seq",
-        "filename",
-        "change_type",
-        "old_filename",
-        "language",
-        "lines_added",
-        "lines_removed",
+        *carried,
         when_file(
             F.when(ok, F.col("elements")).otherwise(F.array().cast(ELEMENTS))
         ).alias("elements"),
@@ -214,14 +202,7 @@ def analyze_files(
         when_file(F.when(ok, "ok").otherwise("failed")).alias("status"),
     )
     return listed.select(
-        *keys,
-        "file_seq",
-        "filename",
-        "change_type",
-        "old_filename",
-        "language",
-        "lines_added",
-        "lines_removed",
+        *carried,
         "elements",
         "purposes",
         when_file(F.array_join("purposes", "; ")).alias("purpose_inference"),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from patchloom.fixed_values import ANONYMOUS, ELEMENT_PATTERNS
 from patchloom.functions.regex import group_count, spark_pattern, whole_line_pattern
 from patchloom.functions.text import lines_text, strip
+from patchloom.operators.parse import explode_rows, fixed_columns
 
 Patterns = Mapping[str, Mapping[str, str]]
 
@@ -87,8 +88,9 @@ def code_elements(
             if per_language is None
             else per_language.when(is_language, matches(by_type))
         )
-    return lines.select(*keys, (F.col("pos") + 1).alias("line"), F.explode(per_language).alias("e")).select(
-        *keys, "e.type_ord", "e.element_type", "e.name", "line", "e.content", "e.parameters"
+    rows = lines.select(*keys, (F.col("pos") + 1).alias("line"), F.inline_outer(per_language))
+    return rows.where(F.col("type_ord").isNotNull()).select(
+        *keys, "type_ord", "element_type", "name", "line", "content", "parameters"
     )
 
 
@@ -156,16 +158,17 @@ def structural_changes(
     of that type and name then leave the other two lists.
     ``matched_without_name`` tells whether a pattern without a group matched.
     """
-    found = files.select(
-        "*",
-        _by_language(lines_text(F.col("added_lines")), patterns).alias("found_added"),
-        _by_language(lines_text(F.col("removed_lines")), patterns).alias("found_removed"),
+    found = fixed_columns(
+        files,
+        files.columns,
+        found_added=_by_language(lines_text(F.col("added_lines")), patterns),
+        found_removed=_by_language(lines_text(F.col("removed_lines")), patterns),
     )
     own_keys = lambda c: F.transform(
         F.filter(c, lambda e: e["own_name"] != ""), lambda e: _key(e, "own_name")
     )
     both = F.array_intersect(own_keys("found_added"), own_keys("found_removed"))
-    keyed = found.withColumn("modified_keys", both)
+    keyed = fixed_columns(found, found.columns, modified_keys=both)
     n_buckets = F.ceil(F.sqrt(F.size("modified_keys"))).cast("int")
     bucketed = keyed.withColumn(
         "modified_buckets",
@@ -222,15 +225,15 @@ def structural_changes(
         flagged = flagged | (
             (F.col("language") == language) & (hit("found_added") | hit("found_removed"))
         )
-    return bucketed.select(
-        *files.columns,
-        F.concat(added, removed, modified).cast(ELEMENTS).alias("elements"),
-        flagged.alias("matched_without_name"),
+    return fixed_columns(
+        bucketed,
+        files.columns,
+        elements=F.concat(added, removed, modified).cast(ELEMENTS),
+        matched_without_name=flagged,
     )
 
 
 def element_rows(analysis: DataFrame, keys: Sequence[str] = ("diff_id",)) -> DataFrame:
     """The ``elements`` lists as rows, ``element_seq`` giving the place in the list."""
-    return analysis.select(
-        *keys, "file_seq", F.posexplode("elements").alias("pos", "e")
-    ).select(*keys, "file_seq", (F.col("pos") + 1).cast("bigint").alias("element_seq"), "e.*")
+    rows = explode_rows(analysis, [*keys, "file_seq"], F.col("elements"), "pos", "e")
+    return rows.select(*keys, "file_seq", (F.col("pos") + 1).cast("bigint").alias("element_seq"), "e.*")

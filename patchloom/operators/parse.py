@@ -23,6 +23,28 @@ FILE_MARK = "diff --git"
 REST = 1 << 30  # slice length that always reaches the end
 
 
+def fixed_columns(df: DataFrame, keep: Sequence[str], **columns: Column) -> DataFrame:
+    """Compute ``columns`` once per row, next to the ``keep`` columns.
+
+    A plain projection lets the optimizer copy long expressions into every
+    filter on their results, which evaluates them twice and, over several
+    steps, makes the plan explode.  A one-element generator is not looked
+    through, while filters on the ``keep`` columns still reach the scan.
+    """
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select(*keep, F.inline_outer(F.array(row)))
+
+
+def explode_rows(df: DataFrame, keep: Sequence[str], values: Column, pos: str, name: str) -> DataFrame:
+    """Rows of an array with their positions; ``values`` is evaluated once.
+
+    The inner form of the explode would test the array's size in a filter of
+    its own, that is split the text a second time.
+    """
+    rows = df.select(*keep, F.posexplode_outer(values).alias(pos, name))
+    return rows.where(F.col(pos).isNotNull())
+
+
 def file_sections(
     diffs: DataFrame,
     keys: Sequence[str] = DIFF_ID,
@@ -37,10 +59,12 @@ def file_sections(
     text = F.col(text_col)
     first_file = F.when(text.startswith(FILE_MARK), 1).otherwise(2)
     sections = F.slice(F.split(text, r"\n(?=diff --git)"), first_file, F.lit(REST))
-    explode = F.posexplode_outer if keep_empty else F.posexplode
-    return diffs.select(*keys, explode(sections).alias("file_pos", "section")).select(
-        *keys, (F.col("file_pos") + 1).cast("bigint").alias("file_seq"), "section"
+    rows = (
+        diffs.select(*keys, F.posexplode_outer(sections).alias("file_pos", "section"))
+        if keep_empty
+        else explode_rows(diffs, keys, sections, "file_pos", "section")
     )
+    return rows.select(*keys, (F.col("file_pos") + 1).cast("bigint").alias("file_seq"), "section")
 
 
 def _last(pattern: str, text: Column) -> Column:
@@ -64,17 +88,17 @@ def files_from_sections(sections: DataFrame, keys: Sequence[str] = DIFF_ID) -> D
         F.get("parts", F.lit(0)).alias("header"),
         F.array_join(_valid_hunks(F.col("parts")), "\n").alias("body"),
     )
-    read = split_out.select(
-        *keys,
-        "file_seq",
-        header.rlike(FILE_HEADER).alias("header_ok"),
-        F.regexp_extract(header, FILE_HEADER, 1).alias("header_old"),
-        F.regexp_extract(header, FILE_HEADER, 2).alias("header_new"),
-        _last(r"\nrename from ([^\n]*)", header).alias("renamed_from"),
-        _last(r"\nrename to ([^\n]*)", header).alias("renamed_to"),
-        _last(r"\n(rename from |new file mode|deleted file mode)", header).alias("mark"),
-        F.regexp_extract_all(body, F.lit(r"\n\+([^\n]*)"), F.lit(1)).alias("added_lines"),
-        F.regexp_extract_all(body, F.lit(r"\n-([^\n]*)"), F.lit(1)).alias("removed_lines"),
+    read = fixed_columns(
+        split_out,
+        [*keys, "file_seq"],
+        header_ok=header.rlike(FILE_HEADER),
+        header_old=F.regexp_extract(header, FILE_HEADER, 1),
+        header_new=F.regexp_extract(header, FILE_HEADER, 2),
+        renamed_from=_last(r"\nrename from ([^\n]*)", header),
+        renamed_to=_last(r"\nrename to ([^\n]*)", header),
+        mark=_last(r"\n(rename from |new file mode|deleted file mode)", header),
+        added_lines=F.regexp_extract_all(body, F.lit(r"\n\+([^\n]*)"), F.lit(1)),
+        removed_lines=F.regexp_extract_all(body, F.lit(r"\n-([^\n]*)"), F.lit(1)),
     )
     moved = F.col("header_ok") & (F.col("header_old") != F.col("header_new"))
     return read.select(
@@ -117,7 +141,7 @@ def _hunk_rows(texts: DataFrame, keys: Sequence[str], first_hunk: Column, text_c
     parts = F.slice(F.split(F.col(text_col), r"\n(?=@@)"), first_hunk, F.lit(REST))
     valid = F.filter(parts, lambda p: p.rlike(HUNK_HEADER))
     hunk = F.col("hunk")
-    rows = texts.select(*keys, F.posexplode(valid).alias("hunk_pos", "hunk"))
+    rows = explode_rows(texts, keys, valid, "hunk_pos", "hunk")
 
     def number(group: int, default: Column | None = None) -> Column:
         digits = F.nullif(F.regexp_extract(hunk, HUNK_HEADER, group), F.lit(""))
@@ -187,7 +211,8 @@ def _lines_of(hunks: DataFrame, keys: Sequence[str]) -> DataFrame:
     new_side = F.filter("typed", lambda line: line["line_type"] != "-")
     old_side = F.filter("typed", lambda line: line["line_type"] != "+")
     added = F.filter(numbered(new_side, "new_start"), lambda line: line["line_type"] == "+")
-    return typed.select(*keys, F.inline(F.concat(added, numbered(old_side, "old_start"))))
+    lines = F.inline_outer(F.concat(added, numbered(old_side, "old_start")))
+    return typed.select(*keys, lines).where(F.col("line_seq").isNotNull())
 
 
 def parse_lines(
