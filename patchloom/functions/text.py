@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 ANY_BLANK = r"\s\x0b\x1c-\x1f\x85\p{Z}"
 
 
+def strip_sql(text: str) -> str:
+    pattern = rf"^[{ANY_BLANK}]+|[{ANY_BLANK}]+\z"
+    return f"regexp_replace({text}, {sql_text(pattern)}, '')"
+
+
 def strip(text: Column) -> Column:
     """Trim blanks of any script from both ends."""
     return F.regexp_replace(text, rf"^[{ANY_BLANK}]+|[{ANY_BLANK}]+\z", "")
@@ -33,16 +38,27 @@ def contains_any(text: Column, words: list[str]) -> Column:
     return hit
 
 
+def sql_text(text: str) -> str:
+    """A string literal of Spark SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+
+
 def lines_text(lines: Column) -> Column:
     return F.array_join(lines, "\n")
 
 
-def json_string(text: Column) -> Column:
-    """A JSON string literal; only quotes, backslashes and control codes are escaped."""
-    plain = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    short = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
+def json_string_sql(text: str) -> str:
+    """SQL of a JSON string literal; only quotes, backslashes and control codes are escaped."""
+    plain = rf"replace(replace({text}, '\\', '\\\\'), '\"', '\\\"')"
+    short = {8: r"\\b", 9: r"\\t", 10: r"\\n", 12: r"\\f", 13: r"\\r"}
     coded = plain
     for code in range(32):
-        coded = F.replace(coded, F.lit(chr(code)), F.lit(short.get(code, f"\\u{code:04x}")))
-    body = F.when(plain.rlike(r"[\x00-\x1f]"), coded).otherwise(plain)
-    return F.when(text.isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), body, F.lit('"')))
+        coded = f"replace({coded}, char({code}), '{short.get(code, rf'\\u{code:04x}')}')"
+    controls = r"'[\\x00-\\x1f]'"
+    return (
+        f"coalesce(concat('\"', CASE WHEN {text} RLIKE {controls} THEN {coded} ELSE {plain} END, '\"'), 'null')"
+    )
+
+
+def json_string(text: str) -> Column:
+    return F.expr(json_string_sql(text))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from patchloom.fixed_values import ANONYMOUS, ELEMENT_PATTERNS
 from patchloom.functions.regex import group_count, spark_pattern, whole_line_pattern
-from patchloom.functions.text import lines_text, strip
+from patchloom.functions.text import sql_text, strip, strip_sql
 from patchloom.operators.parse import explode_rows, fixed_columns
 
 Patterns = Mapping[str, Mapping[str, str]]
@@ -94,31 +94,32 @@ def code_elements(
     )
 
 
-def _found_in(text: Column, by_type: Mapping[str, str]) -> Column:
-    """Elements in a block of text, by type, then by line."""
+def _found_in(text: str, by_type: Mapping[str, str]) -> str:
+    """SQL of the elements in a block of text, by type, then by line."""
 
-    def of_type(element_type: str, pattern: str) -> Column:
-        lines = F.regexp_extract_all(text, F.lit(whole_line_pattern(pattern)), F.lit(0))
-        return F.transform(
-            lines,
-            lambda line: F.struct(
-                F.lit(element_type).alias("element_type"),
-                _name(line, pattern).alias("name"),
-                _group(line, pattern, 1).alias("own_name"),
-                strip(line).alias("content"),
-            ),
+    def of_type(element_type: str, pattern: str) -> str:
+        one_line = sql_text(spark_pattern(pattern))
+        groups = [f"regexp_extract(line, {one_line}, {i})" for i in range(1, group_count(pattern) + 1)]
+        name = ", ".join([f"nullif({group}, '')" for group in groups] + [sql_text(ANONYMOUS)])
+        return (
+            f"transform(regexp_extract_all({text}, {sql_text(whole_line_pattern(pattern))}, 0), line -> named_struct("
+            f"'element_type', {sql_text(element_type)}, 'name', coalesce({name}),"
+            f" 'own_name', {groups[0] if groups else sql_text('')}, 'content', {strip_sql('line')}))"
         )
 
-    return F.concat(*[of_type(*item) for item in by_type.items()])
+    return "concat(" + ", ".join(of_type(*item) for item in by_type.items()) + ")"
 
 
-def _by_language(text: Column, patterns: Patterns) -> Column:
-    chain = None
-    for language, by_type in patterns.items():
-        here = F.col("language") == language
-        value = _found_in(text, by_type)
-        chain = F.when(here, value) if chain is None else chain.when(here, value)
-    return chain.otherwise(F.array().cast(FOUND))
+def _both_sides(patterns: Patterns) -> Column:
+    """Elements found in the added and in the removed text of a file."""
+    cases = " ".join(
+        f"WHEN {sql_text(language)} THEN {_found_in('text', by_type)}"
+        for language, by_type in patterns.items()
+    )
+    return F.expr(
+        "transform(array(array_join(added_lines, '\\n'), array_join(removed_lines, '\\n')),"
+        f" text -> CASE language {cases} ELSE cast(array() AS {FOUND}) END)"
+    )
 
 
 def _key(element: Column, name: str) -> Column:
@@ -161,8 +162,11 @@ def structural_changes(
     found = fixed_columns(
         files,
         files.columns,
-        found_added=_by_language(lines_text(F.col("added_lines")), patterns),
-        found_removed=_by_language(lines_text(F.col("removed_lines")), patterns),
+        found=_both_sides(patterns),
+    ).select(
+        *files.columns,
+        F.get("found", F.lit(0)).alias("found_added"),
+        F.get("found", F.lit(1)).alias("found_removed"),
     )
     own_keys = lambda c: F.transform(
         F.filter(c, lambda e: e["own_name"] != ""), lambda e: _key(e, "own_name")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchloom.fixed_values import FORMATS, NO_FILE_SUMMARIES, TEMPLATE_VARIABLES
-from patchloom.functions.text import json_string
+from patchloom.functions.text import json_string_sql
 from patchloom.operators.parse import DIFF_ID
 from patchloom.operators.summary import STAT_NAMES
 
@@ -152,40 +152,29 @@ def as_plain() -> Column:
     return _laid_out("plain")
 
 
-def _json_list(items: Column, indent: int) -> Column:
-    pad = "\n" + " " * indent
-    inner = F.concat(F.lit("[" + pad + "  "), F.array_join(items, "," + pad + "  "), F.lit(pad + "]"))
-    return F.when(F.size(items) > 0, inner).otherwise(F.lit("[]"))
+def _json_list(items: str, indent: int) -> str:
+    pad = "\\n" + " " * indent
+    return (
+        f"CASE WHEN size({items}) > 0 THEN concat('[{pad}  ', array_join({items}, ',{pad}  '), '{pad}]') ELSE '[]' END"
+    )
 
 
 def as_json() -> Column:
     """JSON with an indent of two; only quotes, backslashes and control codes are escaped."""
-    strings = lambda items: F.transform(items, json_string)
-    counters = [
-        F.concat(F.lit(f'    "{name}": '), F.col(f"statistics.{name}").cast("string"))
+    strings = lambda items: f"transform({items}, x -> {json_string_sql('x')})"
+    counters = ", ".join(
+        f"""'    "{name}": ', statistics.{name}, '{",\\n" if name != STAT_NAMES[-1] else ""}'"""
         for name in STAT_NAMES
-    ]
-    file_entry = lambda f: F.concat(
-        F.lit('{\n      "filename": '),
-        json_string(f["filename"]),
-        F.lit(',\n      "summary": '),
-        json_string(f["summary"]),
-        F.lit(',\n      "key_changes": '),
-        _json_list(strings(f["key_changes"]), 6),
-        F.lit("\n    }"),
     )
-    return F.concat(
-        F.lit('{\n  "overview": '),
-        json_string(F.col("overview")),
-        F.lit(',\n  "statistics": {\n'),
-        F.concat_ws(",\n", *counters),
-        F.lit('\n  },\n  "file_summaries": '),
-        _json_list(F.transform("file_summaries", file_entry), 2),
-        F.lit(',\n  "key_changes": '),
-        _json_list(strings(F.col("key_changes")), 2),
-        F.lit(',\n  "recommendations": '),
-        _json_list(strings(F.col("recommendations")), 2),
-        F.lit("\n}"),
+    file_entry = f"""concat('{{\\n      "filename": ', {json_string_sql("f.filename")},
+        ',\\n      "summary": ', {json_string_sql("f.summary")},
+        ',\\n      "key_changes": ', {_json_list(strings("f.key_changes"), 6)}, '\\n    }}')"""
+    return F.expr(
+        f"""concat('{{\\n  "overview": ', {json_string_sql("overview")},
+        ',\\n  "statistics": {{\\n', {counters},
+        '\\n  }},\\n  "file_summaries": ', {_json_list(f"transform(file_summaries, f -> {file_entry})", 2)},
+        ',\\n  "key_changes": ', {_json_list(strings("key_changes"), 2)},
+        ',\\n  "recommendations": ', {_json_list(strings("recommendations"), 2)}, '\\n}}')"""
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchloom import fixed_values as fixed
-from patchloom.operators.parse import DIFF_ID
+from patchloom.operators.parse import DIFF_ID, fixed_columns
 
 CHUNK = 4096
 VERBS = ("added", "removed", "modified")
@@ -33,30 +33,22 @@ def _any(condition: Column) -> Column:
     return F.coalesce(F.bool_or(condition), F.lit(False))
 
 
-def describe_elements(elements: Column) -> Column:
+def describe_elements(elements: str = "elements") -> Column:
     """"added function f, removed 2 functions; added class C": types in first-seen order."""
-    base = lambda e: F.substring_index(e["change_type"], "_", 1)
-
-    def phrase(group: Column, verb: str) -> Column:
-        names = F.transform(
-            F.filter(
-                elements,
-                lambda e: (base(e) == group) & F.endswith(e["change_type"], F.lit("_" + verb)),
-            ),
-            lambda e: e["element_name"],
-        )
-        return F.when(
-            F.size(names) == 1, F.concat(F.lit(verb + " "), group, F.lit(" "), F.get(names, F.lit(0)))
-        ).when(
-            F.size(names) > 1,
-            F.concat(F.lit(verb + " "), F.size(names).cast("string"), F.lit(" "), group, F.lit("s")),
-        )
-
-    groups = F.array_distinct(F.transform(elements, base))
-    described = F.transform(
-        groups, lambda g: F.array_join(_compact(*[phrase(g, verb) for verb in VERBS]), ", ")
+    base = "substring_index(e.change_type, '_', 1)"
+    names = {
+        verb: f"transform(filter({elements}, e -> {base} = g AND endswith(e.change_type, '_{verb}')), e -> e.element_name)"
+        for verb in VERBS
+    }
+    phrases = ", ".join(
+        f"CASE WHEN size({n}) = 1 THEN concat('{verb} ', g, ' ', get({n}, 0))"
+        f" WHEN size({n}) > 1 THEN concat('{verb} ', size({n}), ' ', g, 's') END"
+        for verb, n in names.items()
+    )
+    return F.expr(
+        f"array_join(filter(transform(array_distinct(transform({elements}, e -> {base})),"
+        f" g -> concat_ws(', ', {phrases})), text -> text <> ''), '; ')"
     )
-    return F.array_join(F.filter(described, lambda text: text != ""), "; ")
 
 
 def change_description() -> Column:
@@ -84,7 +76,7 @@ def change_description() -> Column:
         ),
         ", ",
     )
-    structure = describe_elements(F.col("elements"))
+    structure = describe_elements()
     purpose = F.col("purpose_inference")
     return F.concat_ws(
         " - ",
@@ -100,35 +92,18 @@ def change_description() -> Column:
 
 def file_key_changes() -> Column:
     """What stands out in one file: its elements, a high score, a high impact."""
-    score = F.col("complexity_score")
-
-    def entry(e: Column) -> Column:
-        text = F.lit(None).cast("string")
-        for verb in reversed(VERBS):
-            kind = F.replace(e["change_type"], F.lit("_" + verb), F.lit(""))
-            text = F.when(
-                F.endswith(e["change_type"], F.lit("_" + verb)),
-                F.concat(
-                    F.lit(verb.capitalize() + " "), kind, F.lit(" '"), e["element_name"], F.lit("'")
-                ),
-            ).otherwise(text)
-        return text
-
-    return F.concat(
-        F.array_compact(F.transform("elements", entry)),
-        _compact(
-            F.when(
-                score >= fixed.SCORE_HIGH,
-                F.format_string("High complexity change (score: %d/10)", score),
-            ).when(
-                score >= fixed.SCORE_MEDIUM,
-                F.format_string("Medium complexity change (score: %d/10)", score),
-            ),
-            F.when(
-                F.contains(F.lower("impact_assessment"), F.lit("high impact")),
-                F.lit(fixed.FILE_HIGH_IMPACT),
-            ),
-        ),
+    entry = " ".join(
+        f"WHEN endswith(e.change_type, '_{verb}') THEN concat('{verb.capitalize()} ',"
+        f" replace(e.change_type, '_{verb}', ''), ' \\'', e.element_name, '\\'')"
+        for verb in VERBS
+    )
+    score = " ".join(
+        f"WHEN complexity_score >= {least} THEN format_string('{word} complexity change (score: %d/10)', complexity_score)"
+        for least, word in ((fixed.SCORE_HIGH, "High"), (fixed.SCORE_MEDIUM, "Medium"))
+    )
+    return F.expr(
+        f"array_compact(concat(transform(elements, e -> CASE {entry} END), array(CASE {score} END,"
+        f" CASE WHEN contains(lower(impact_assessment), 'high impact') THEN '{fixed.FILE_HIGH_IMPACT}' END)))"
     )
 
 
@@ -137,12 +112,7 @@ def file_summaries(analysis: DataFrame, keys: Sequence[str] = DIFF_ID) -> DataFr
 
     A file whose counts, score or impact are missing gets a fallback text.
     """
-    missing = (
-        F.col("lines_added").isNull()
-        | F.col("lines_removed").isNull()
-        | F.col("complexity_score").isNull()
-        | F.col("impact_assessment").isNull()
-    )
+    missing = F.expr(IS_MISSING)
     rows = analysis.where(F.col("file_seq").isNotNull() & F.col("filename").isNotNull())
     rows = rows.withColumn("elements", F.coalesce("elements", F.array().cast(_elements_type(analysis))))
     return rows.select(
@@ -230,42 +200,73 @@ def overview_text(stats: dict[str, Column], top: Column) -> Column:
     return F.concat(text, F.lit("."))
 
 
-# The lists of the key-change report, in order: name of the rule, condition on
-# a file, text of one entry (``f.filename`` and ``f.n`` are at hand).
-def _listed_rules() -> dict[str, Column]:
-    changed = F.col("lines_added") + F.col("lines_removed")
-    classes = F.size(F.filter("elements", lambda e: F.contains(e["change_type"], F.lit("class"))))
-    return {
-        "high": F.col("complexity_score") >= fixed.SCORE_HIGH,
-        "new": F.col("change_type") == "added",
-        "deleted": F.col("change_type") == "deleted",
-        "large": changed > fixed.LARGE_FILE_OVER,
-        "classes": classes > fixed.CLASS_CHANGES_OVER,
-    }
+# The lists of the key-change report, in order: a condition on a file each.
+LISTS = [
+    f"complexity_score >= {fixed.SCORE_HIGH}",
+    "change_type = 'added'",
+    "change_type = 'deleted'",
+    f"lines_added + lines_removed > {fixed.LARGE_FILE_OVER}",
+    f"size(filter(elements, e -> contains(e.change_type, 'class'))) > {fixed.CLASS_CHANGES_OVER}",
+]
 
 
-def _first_files(entries: Column) -> Column:
-    return F.slice(F.array_sort(entries), 1, fixed.MAX_KEY_CHANGES)
+def _noted() -> Column:
+    """The lists one file belongs to, as (list, file_seq, filename, lines)."""
+    entries = ", ".join(
+        f"CASE WHEN {condition} THEN named_struct('list', {i}, 'file_seq', file_seq,"
+        " 'filename', filename, 'n', lines_added + lines_removed) END"
+        for i, condition in enumerate(LISTS)
+    )
+    return F.expr(f"array_compact(array({entries}))")
+
+
+def _first_noted(entries: str) -> Column:
+    """The first ten entries of each list, by file order."""
+    firsts = ", ".join(
+        f"slice(filter(array_sort({entries}), x -> x.list = {i}), 1, {fixed.MAX_KEY_CHANGES})"
+        for i in range(len(LISTS))
+    )
+    return F.expr(f"concat({firsts})")
+
+
+def _purpose_entries() -> Column:
+    """A file's purposes as (minus count, first place, purpose)."""
+    return F.expr(
+        "transform(purposes, (p, i) -> named_struct("
+        "'n', -1L, 'first', named_struct('file_seq', file_seq, 'pos', i), 'purpose', p))"
+    )
+
+
+def _counted_purposes(entries: str) -> Column:
+    """Entries of the same purpose added up; the list has one entry per purpose."""
+    return F.expr(
+        f"transform(array_distinct(transform({entries}, x -> x.purpose)), p -> named_struct("
+        f"'n', aggregate(filter({entries}, x -> x.purpose = p), 0L, (t, x) -> t + x.n),"
+        f" 'first', array_min(transform(filter({entries}, x -> x.purpose = p), x -> x.first)),"
+        " 'purpose', p))"
+    )
 
 
 def _key_changes() -> Column:
-    texts = lambda rule, make: F.transform(rule, make)
-    named = lambda words: lambda f: F.concat(F.lit(words), f["filename"])
+    """Texts of the five lists, the first ten in all."""
+    entries = lambda i: F.expr(f"filter(noted, x -> x.list = {i})")
+    named = lambda i, words: F.transform(
+        entries(i), lambda f: F.concat(F.lit(words), f["filename"])
+    )
     new = F.when(
         F.col("files_added") > fixed.NEW_FILES_LISTED,
         F.array(F.format_string("Multiple new files added (%d files)", F.col("files_added"))),
-    ).otherwise(texts("new", named("New file: ")))
+    ).otherwise(named(1, "New file: "))
+    large = F.transform(
+        entries(3),
+        lambda f: F.format_string("Large change in %s (%d lines)", f["filename"], f["n"]),
+    )
     every = F.concat(
-        texts("high", named("High complexity change in ")),
+        named(0, "High complexity change in "),
         new,
-        texts("deleted", named("Deleted file: ")),
-        texts(
-            "large",
-            lambda f: F.concat(
-                F.lit("Large change in "), f["filename"], F.lit(" ("), f["n"].cast("string"), F.lit(" lines)")
-            ),
-        ),
-        texts("classes", named("Multiple class changes in ")),
+        named(2, "Deleted file: "),
+        large,
+        named(4, "Multiple class changes in "),
     )
     return F.slice(every, 1, fixed.MAX_KEY_CHANGES)
 
@@ -294,94 +295,88 @@ STAT_NAMES = [
     "total_lines_added",
     "total_lines_removed",
 ]
-_SUMMED = [*STAT_NAMES, "parsed_files", "n_high", "n_test", "n_other"]
-_EARLIEST = ["first_doc", "first_feature", "first_null_purpose"]
-_FLAGS = ["any_api", "any_import", "any_missing"]
+
+IS_TEST = "(contains(lower(filename), 'test') OR contains(lower(filename), 'spec'))"
+IS_MISSING = (
+    "(lines_added IS NULL OR lines_removed IS NULL OR complexity_score IS NULL OR impact_assessment IS NULL)"
+)
+HAS_IMPORT = "exists(elements, e -> contains(e.change_type, 'import'))"
+
+# One chunk's numbers, over rows whose filename is NULL when there is no file.
+_PER_CHUNK = {
+    "parsed_files": "count(file_seq)",
+    "total_files": "count(filename)",
+    "files_added": "count_if(filename IS NOT NULL AND change_type = 'added')",
+    "files_modified": "count_if(filename IS NOT NULL AND change_type = 'modified')",
+    "files_deleted": "count_if(filename IS NOT NULL AND change_type = 'deleted')",
+    "total_lines_added": "coalesce(sum(CASE WHEN filename IS NOT NULL THEN lines_added END), 0L)",
+    "total_lines_removed": "coalesce(sum(CASE WHEN filename IS NOT NULL THEN lines_removed END), 0L)",
+    "n_high": f"count_if(filename IS NOT NULL AND complexity_score >= {fixed.SCORE_HIGH})",
+    "n_test": f"count_if({IS_TEST})",
+    "n_other": f"count_if(NOT {IS_TEST})",
+    "first_doc": "min(CASE WHEN contains(lower(purpose_inference), 'documentation') THEN file_seq END)",
+    "first_feature": "min(CASE WHEN contains(lower(purpose_inference), 'feature addition') THEN file_seq END)",
+    "first_null_purpose": "min(CASE WHEN filename IS NOT NULL AND purpose_inference IS NULL THEN file_seq END)",
+    "any_api": "coalesce(bool_or(contains(lower(impact_assessment), 'public api')), false)",
+    "any_import": f"coalesce(bool_or({HAS_IMPORT}), false)",
+    "any_missing": f"coalesce(bool_or(filename IS NOT NULL AND {IS_MISSING}), false)",
+}
+
+
+def _merge(name: str) -> str:
+    return {"first": "min", "any": "bool_or"}.get(name.split("_")[0], "sum") + f"({name})"
 
 
 def _rollup(files: DataFrame, keys: Sequence[str], known_purposes: bool, with_files: bool) -> DataFrame:
     """Counters, flags and short lists of each change set, chunk by chunk."""
-    is_file = F.col("filename").isNotNull()
-    kind = lambda value: is_file & (F.col("change_type") == value)
-    total = lambda name: F.coalesce(F.sum(F.when(is_file, F.col(name))), F.lit(0))
-    lowered = F.lower("filename")
-    is_test = F.contains(lowered, F.lit("test")) | F.contains(lowered, F.lit("spec"))
-    purpose = F.lower("purpose_inference")
-    first = lambda condition: F.min(F.when(condition, F.col("file_seq")))
-    missing = is_file & (
-        F.col("lines_added").isNull()
-        | F.col("lines_removed").isNull()
-        | F.col("complexity_score").isNull()
-        | F.col("impact_assessment").isNull()
+    lists = {"noted": _first_noted("noted")}
+    noted = fixed_columns(
+        files,
+        files.columns,
+        noted=F.when(F.col("filename").isNotNull(), _noted()),
+        **({"counted": _purpose_entries()} if known_purposes else {}),
     )
-    per_chunk = [
-        F.count("file_seq").alias("parsed_files"),
-        _count(is_file).alias("total_files"),
-        _count(kind("added")).alias("files_added"),
-        _count(kind("modified")).alias("files_modified"),
-        _count(kind("deleted")).alias("files_deleted"),
-        total("lines_added").alias("total_lines_added"),
-        total("lines_removed").alias("total_lines_removed"),
-        _count(is_file & (F.col("complexity_score") >= fixed.SCORE_HIGH)).alias("n_high"),
-        _count(is_file & is_test).alias("n_test"),
-        _count(is_file & ~is_test).alias("n_other"),
-        first(is_file & F.contains(purpose, F.lit("documentation"))).alias("first_doc"),
-        first(is_file & F.contains(purpose, F.lit("feature addition"))).alias("first_feature"),
-        first(is_file & F.col("purpose_inference").isNull()).alias("first_null_purpose"),
-        _any(F.contains(F.lower("impact_assessment"), F.lit("public api"))).alias("any_api"),
-        _any(
-            F.exists("elements", lambda e: F.contains(e["change_type"], F.lit("import")))
-        ).alias("any_import"),
-        _any(missing).alias("any_missing"),
-    ]
-    changed = (F.col("lines_added") + F.col("lines_removed")).alias("n")
-    for rule, condition in _listed_rules().items():
-        entry = F.when(is_file & condition, F.struct("file_seq", "filename", changed))
-        per_chunk.append(_first_files(F.collect_list(entry)).alias(rule))
     if known_purposes:
-        for i, text in enumerate(fixed.KNOWN_PURPOSES):
-            here = is_file & F.array_contains("purposes", text)
-            per_chunk += [_count(here).alias(f"n_{i}"), first(here).alias(f"first_{i}")]
+        lists["counted"] = _counted_purposes("counted")
+
+    def shortened(grouped: DataFrame, kept: Sequence[str]) -> DataFrame:
+        rest = [c for c in grouped.columns if c not in lists and c not in kept]
+        return grouped.select(*kept, *rest, *[value.alias(name) for name, value in lists.items()])
+
+    per_chunk = [F.expr(f"{value} AS {name}") for name, value in _PER_CHUNK.items()]
+    collected = [F.expr(f"flatten(collect_list({name})) AS {name}") for name in lists]
+    file_list = []
     if with_files:
-        summary = F.struct("file_seq", "filename", "summary", "file_key_changes")
-        per_chunk.append(F.collect_list(F.when(is_file, summary)).alias("file_list"))
-    chunk = F.coalesce(F.floor(F.col("file_seq") / CHUNK), F.lit(0)).alias("chunk")
-    chunks = files.groupBy(*keys, chunk).agg(*per_chunk)
-
-    merged = [F.sum(name).alias(name) for name in _SUMMED]
-    merged += [F.min(name).alias(name) for name in _EARLIEST]
-    merged += [F.bool_or(name).alias(name) for name in _FLAGS]
-    merged += [
-        _first_files(F.flatten(F.collect_list(rule))).alias(rule) for rule in _listed_rules()
-    ]
-    if known_purposes:
-        ranked = []
-        for i, text in enumerate(fixed.KNOWN_PURPOSES):
-            count, seen = F.sum(f"n_{i}"), F.min(f"first_{i}")
-            ranked.append(
-                F.when(
-                    count > 0,
-                    F.struct((-count).alias("n"), seen.alias("s"), F.lit(i).alias("i"), F.lit(text).alias("p")),
-                )
+        file_list = [
+            F.expr(
+                "collect_list(CASE WHEN filename IS NOT NULL THEN"
+                " struct(file_seq, filename, summary, file_key_changes) END) AS file_list"
             )
-        best = F.slice(F.array_sort(_compact(*ranked)), 1, fixed.TOP_PURPOSES)
-        merged.append(F.transform(best, lambda x: x["p"]).alias("top"))
+        ]
+    chunk = F.expr(f"coalesce(floor(file_seq / {CHUNK}), 0L) AS chunk")
+    chunks = shortened(
+        noted.groupBy(*keys, chunk).agg(*per_chunk, *collected, *file_list), [*keys, "chunk"]
+    )
+    merged = [F.expr(f"{_merge(name)} AS {name}") for name in _PER_CHUNK]
     if with_files:
-        merged.append(F.array_sort(F.flatten(F.collect_list("file_list"))).alias("file_list"))
-    return chunks.groupBy(*keys).agg(*merged)
+        file_list = [F.expr("array_sort(flatten(collect_list(file_list))) AS file_list")]
+    whole = shortened(chunks.groupBy(*keys).agg(*merged, *collected, *file_list), keys)
+    if not known_purposes:
+        return whole
+    top = f"transform(slice(array_sort(counted), 1, {fixed.TOP_PURPOSES}), x -> x.purpose)"
+    return whole.withColumn("top", F.expr(top)).drop("counted")
 
 
 def _report(rolled: DataFrame, keys: Sequence[str], with_files: bool) -> DataFrame:
     empty = F.col("total_files") == 0
     # A missing purpose spoils the roll-up unless both searches through the
     # purposes had already stopped at an earlier file.
-    null_purpose, far = F.col("first_null_purpose"), F.lit((1 << 63) - 1)
-    failed = (
-        F.col("any_missing")
-        | (null_purpose < F.coalesce("first_doc", far))
-        | (null_purpose < F.coalesce("first_feature", far))
+    far = (1 << 63) - 1
+    failed = F.expr(
+        "coalesce(any_missing, false)"
+        f" OR coalesce(first_null_purpose < coalesce(first_doc, {far}), false)"
+        f" OR coalesce(first_null_purpose < coalesce(first_feature, {far}), false)"
     )
-    failed = F.coalesce(failed, F.lit(False))
     none = F.array().cast(STRINGS)
     stats = {name: F.col(name) for name in STAT_NAMES}
     columns = [
@@ -400,13 +395,9 @@ def _report(rolled: DataFrame, keys: Sequence[str], with_files: bool) -> DataFra
         F.col("parsed_files"),
     ]
     if with_files:
-        listed = F.transform(
-            "file_list",
-            lambda f: F.struct(
-                f["filename"].alias("filename"),
-                f["summary"].alias("summary"),
-                f["file_key_changes"].alias("key_changes"),
-            ),
+        listed = F.expr(
+            "transform(file_list, f -> named_struct('filename', f.filename, 'summary', f.summary,"
+            " 'key_changes', f.file_key_changes))"
         )
         columns.insert(
             2, F.when(failed, F.slice(listed, 1, 0)).otherwise(listed).alias("file_summaries")
