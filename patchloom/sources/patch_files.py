@@ -20,7 +20,11 @@ def decoded(content: Column) -> Column:
 
 
 def read_patch_files(spark: SparkSession, path: str | Sequence[str], glob: str | None = None) -> DataFrame:
-    """One row per patch file: ``path``, ``diff_text``.  For files that fit in one row."""
+    """One row per patch file: ``path``, ``diff_text``.
+
+    For files that fit in one row.  Spark lists no files of zero length, so an
+    empty patch file has no row.
+    """
     reader = spark.read.format("binaryFile")
     if glob:
         reader = reader.option("pathGlobFilter", glob)

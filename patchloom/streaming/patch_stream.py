@@ -14,10 +14,13 @@ from pyspark.sql.streaming import StreamingQuery
 from patchloom.plans.reports import render_diffs
 from patchloom.sources.patch_files import PATH, decoded
 
+BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
+
 
 def read_patch_stream(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
     """New patch files as rows ``path``, ``diff_text``."""
-    reader = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", max_files)
+    reader = spark.readStream.format("binaryFile").schema(BINARY_FILE)
+    reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.load(folder).select("path", decoded(F.col("content")).alias("diff_text"))
 
 
