@@ -6,11 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from patchloom import fixed_values as fixed
+from patchloom.functions.text import sql_text
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:
-    literal = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    return F.element_at(literal, key)
+    pairs = ", ".join(f"{sql_text(k)}, {sql_text(v)}" for k, v in table.items())
+    return F.element_at(F.expr(f"map({pairs})"), key)
 
 
 def detect_language(filename: Column) -> Column:

@@ -31,13 +31,6 @@ def looks_like_diff(text: Column) -> Column:
     return F.coalesce(marks, F.lit(False))
 
 
-def contains_any(text: Column, words: list[str]) -> Column:
-    hit = F.contains(text, F.lit(words[0]))
-    for word in words[1:]:
-        hit = hit | F.contains(text, F.lit(word))
-    return hit
-
-
 def sql_text(text: str) -> str:
     """A string literal of Spark SQL."""
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"

@@ -13,28 +13,33 @@ from pyspark.sql import functions as F
 
 from patchloom import fixed_values as fixed
 from patchloom.functions.language import detect_language
-from patchloom.functions.text import contains_any, lines_text
+from patchloom.functions.text import sql_text
 from patchloom.operators.elements import ELEMENTS, Patterns, structural_changes
 from patchloom.operators.parse import DIFF_ID, fixed_columns
 
 
-def _texts(*candidates: Column) -> Column:
-    return F.array_compact(F.array(*candidates))
+def _texts(*candidates: str) -> Column:
+    return F.expr(f"array_compact(array({', '.join(candidates)}))")
 
 
-def _by_value(column: Column, texts: dict[str, str]) -> Column:
-    chain = F.lit(None).cast("string")
-    for value, text in texts.items():
-        chain = F.when(column == value, F.lit(text)).otherwise(chain)
-    return chain
+def _case(*branches: tuple[str, str | int], otherwise: str = "NULL") -> str:
+    """SQL of a CASE; results are texts or numbers."""
+    result = lambda value: sql_text(value) if isinstance(value, str) else str(value)
+    whens = " ".join(f"WHEN {condition} THEN {result(value)}" for condition, value in branches)
+    return f"CASE {whens} ELSE {otherwise} END"
 
 
-def _has(change_type: str) -> Column:
-    return F.array_contains("change_types", change_type)
+def _by_kind(table: dict[str, str | int], otherwise: str = "NULL") -> str:
+    return _case(*[(f"change_type = '{k}'", v) for k, v in table.items()], otherwise=otherwise)
 
 
-def _words(text: Column, table: dict[str, list[str]]) -> list[Column]:
-    return [F.when(contains_any(text, words), F.lit(name)) for name, words in table.items()]
+def _has(change_type: str) -> str:
+    return f"array_contains(change_types, '{change_type}')"
+
+
+def _words(text: str, table: dict[str, list[str]]) -> list[str]:
+    hit = lambda words: " OR ".join(f"contains({text}, {sql_text(w)})" for w in words)
+    return [_case((hit(words), name)) for name, words in table.items()]
 
 
 def split_sides(files: DataFrame, lines_col: str = "lines") -> DataFrame:
@@ -46,90 +51,74 @@ def split_sides(files: DataFrame, lines_col: str = "lines") -> DataFrame:
 
 
 def _purposes() -> Column:
-    added, removed = F.col("added_text"), F.col("removed_text")
-    function = (
-        F.when(_has("function_added") & ~_has("function_removed"), fixed.PURPOSE_FUNCTION_ADDED)
-        .when(_has("function_removed") & ~_has("function_added"), fixed.PURPOSE_FUNCTION_REMOVED)
-        .when(_has("function_modified"), fixed.PURPOSE_FUNCTION_MODIFIED)
-    )
-    classes = (
-        F.when(_has("class_added"), fixed.PURPOSE_CLASS_ADDED)
-        .when(_has("class_removed"), fixed.PURPOSE_CLASS_REMOVED)
-        .when(_has("class_modified"), fixed.PURPOSE_CLASS_MODIFIED)
-    )
-    imports = F.when(_has("import_added"), fixed.PURPOSE_IMPORT_ADDED).when(
-        _has("import_removed"), fixed.PURPOSE_IMPORT_REMOVED
-    )
-    readme = F.when(
-        F.col("language").isin("markdown", "unknown")
-        & F.contains(F.lower("filename"), F.lit("readme")),
-        F.lit(fixed.PURPOSE_README),
-    )
+    added, removed = _has("function_added"), _has("function_removed")
     return _texts(
-        _by_value(F.col("change_type"), fixed.PURPOSE_BY_KIND),
-        function,
-        classes,
-        imports,
-        *_words(added, fixed.PURPOSE_BY_ADDED_WORDS),
-        *_words(removed, fixed.PURPOSE_BY_REMOVED_WORDS),
-        readme,
-        *_words(added, fixed.PURPOSE_BY_COMMENT_MARKS),
+        _by_kind(fixed.PURPOSE_BY_KIND),
+        _case(
+            (f"{added} AND NOT {removed}", fixed.PURPOSE_FUNCTION_ADDED),
+            (f"{removed} AND NOT {added}", fixed.PURPOSE_FUNCTION_REMOVED),
+            (_has("function_modified"), fixed.PURPOSE_FUNCTION_MODIFIED),
+        ),
+        _case(
+            (_has("class_added"), fixed.PURPOSE_CLASS_ADDED),
+            (_has("class_removed"), fixed.PURPOSE_CLASS_REMOVED),
+            (_has("class_modified"), fixed.PURPOSE_CLASS_MODIFIED),
+        ),
+        _case(
+            (_has("import_added"), fixed.PURPOSE_IMPORT_ADDED),
+            (_has("import_removed"), fixed.PURPOSE_IMPORT_REMOVED),
+        ),
+        *_words("added_text", fixed.PURPOSE_BY_ADDED_WORDS),
+        *_words("removed_text", fixed.PURPOSE_BY_REMOVED_WORDS),
+        _case(
+            (
+                "language IN ('markdown', 'unknown') AND contains(lower(filename), 'readme')",
+                fixed.PURPOSE_README,
+            )
+        ),
+        *_words("added_text", fixed.PURPOSE_BY_COMMENT_MARKS),
     )
 
 
 def _impacts() -> Column:
-    changed = F.col("lines_added") + F.col("lines_removed")
-    scale = (
-        F.when(changed > fixed.IMPACT_LARGE_OVER, fixed.IMPACT_LARGE)
-        .when(changed > fixed.IMPACT_MEDIUM_OVER, fixed.IMPACT_MEDIUM)
-        .otherwise(fixed.IMPACT_SMALL)
-    )
-    n_private = F.col("n_private")
-    n_public = F.size("elements") - n_private
-    by_suffix = F.lit(None).cast("string")
-    for suffixes, text in reversed(fixed.IMPACT_BY_SUFFIX):
-        ends = F.endswith("filename", F.lit(suffixes[0]))
-        for suffix in suffixes[1:]:
-            ends = ends | F.endswith("filename", F.lit(suffix))
-        by_suffix = F.when(ends, F.lit(text)).otherwise(by_suffix)
-    type_has = lambda word: F.contains(F.array_join("change_types", " "), F.lit(word))
+    changed = "lines_added + lines_removed"
+    public = "size(elements) - n_private"
+    ends = lambda suffixes: " OR ".join(f"endswith(filename, '{s}')" for s in suffixes)
+    type_has = lambda word: f"exists(change_types, t -> contains(t, '{word}'))"
     return _texts(
-        _by_value(F.col("change_type"), fixed.IMPACT_BY_KIND),
-        scale,
-        F.when(n_public > 0, F.format_string(fixed.IMPACT_PUBLIC, n_public)),
-        F.when(n_private > 0, F.format_string(fixed.IMPACT_PRIVATE, n_private)),
-        F.when(type_has("class"), F.lit(fixed.IMPACT_CLASS)),
-        F.when(type_has("import"), F.lit(fixed.IMPACT_IMPORT)),
-        by_suffix,
+        _by_kind(fixed.IMPACT_BY_KIND),
+        _case(
+            (f"{changed} > {fixed.IMPACT_LARGE_OVER}", fixed.IMPACT_LARGE),
+            (f"{changed} > {fixed.IMPACT_MEDIUM_OVER}", fixed.IMPACT_MEDIUM),
+            otherwise=sql_text(fixed.IMPACT_SMALL),
+        ),
+        f"CASE WHEN {public} > 0 THEN format_string({sql_text(fixed.IMPACT_PUBLIC)}, {public}) END",
+        f"CASE WHEN n_private > 0 THEN format_string({sql_text(fixed.IMPACT_PRIVATE)}, n_private) END",
+        _case((type_has("class"), fixed.IMPACT_CLASS)),
+        _case((type_has("import"), fixed.IMPACT_IMPORT)),
+        _case(*[(ends(suffixes), text) for suffixes, text in fixed.IMPACT_BY_SUFFIX]),
     )
 
 
 def _score() -> Column:
-    changed = F.col("lines_added") + F.col("lines_removed")
-    by_lines = F.lit(0)
-    for over, points in reversed(fixed.SCORE_BY_LINES_OVER):
-        by_lines = F.when(changed > over, points).otherwise(by_lines)
-    heavy = F.when(
-        F.arrays_overlap(
-            "change_types", F.array(*[F.lit(t) for t in fixed.SCORE_HEAVY_TYPES])
-        ),
-        fixed.SCORE_HEAVY,
-    ).otherwise(0)
-    structure = (
-        F.least(F.size("elements"), F.lit(fixed.SCORE_MAX_ELEMENTS))
-        + heavy
-        + F.least(F.col("n_modified"), F.lit(fixed.SCORE_MAX_MODIFIED))
+    listed = lambda values: ", ".join(sql_text(v) for v in values)
+    by_lines = _case(
+        *[(f"lines_added + lines_removed > {over}", n) for over, n in fixed.SCORE_BY_LINES_OVER],
+        otherwise="0",
+    )
+    heavy = f"arrays_overlap(change_types, array({listed(fixed.SCORE_HEAVY_TYPES)}))"
+    raw = (
+        f"({by_lines} + least(size(elements), {fixed.SCORE_MAX_ELEMENTS})"
+        f" + {_case((heavy, fixed.SCORE_HEAVY), otherwise='0')}"
+        f" + least(n_modified, {fixed.SCORE_MAX_MODIFIED}))"
     )
-    raw = by_lines + structure
     by_language = (
-        F.when(F.col("language").isin(*fixed.SCORE_HARDER_LANGUAGES), raw + 1)
-        .when(F.col("language").isin(*fixed.SCORE_EASIER_LANGUAGES), F.greatest(raw - 1, F.lit(0)))
-        .otherwise(raw)
+        f"CASE WHEN language IN ({listed(fixed.SCORE_HARDER_LANGUAGES)}) THEN {raw} + 1"
+        f" WHEN language IN ({listed(fixed.SCORE_EASIER_LANGUAGES)}) THEN greatest({raw} - 1, 0)"
+        f" ELSE {raw} END"
     )
-    by_kind = F.lit(0)
-    for kind, points in fixed.SCORE_BY_KIND.items():
-        by_kind = F.when(F.col("change_type") == kind, points).otherwise(by_kind)
-    return F.least(by_language + by_kind, F.lit(fixed.SCORE_CAP))
+    by_kind = _by_kind(fixed.SCORE_BY_KIND, otherwise="0")
+    return F.expr(f"least({by_language} + {by_kind}, {fixed.SCORE_CAP})")
 
 
 def analyze_files(
@@ -167,14 +156,12 @@ def analyze_files(
     counted = found.select(
         *carried,
         "elements",
-        F.lower(lines_text(F.col("added_lines"))).alias("added_text"),
-        F.lower(lines_text(F.col("removed_lines"))).alias("removed_text"),
-        F.array_distinct(F.transform("elements", lambda e: e["change_type"])).alias("change_types"),
-        F.size(F.filter("elements", lambda e: e["element_name"].startswith("_"))).alias("n_private"),
-        F.size(F.filter("elements", lambda e: F.contains(e["change_type"], F.lit("modified")))).alias(
-            "n_modified"
-        ),
         failed.alias("failed"),
+        F.expr("lower(array_join(added_lines, '\\n')) AS added_text"),
+        F.expr("lower(array_join(removed_lines, '\\n')) AS removed_text"),
+        F.expr("array_distinct(transform(elements, e -> e.change_type)) AS change_types"),
+        F.expr("size(filter(elements, e -> startswith(e.element_name, '_'))) AS n_private"),
+        F.expr("size(filter(elements, e -> contains(e.change_type, 'modified'))) AS n_modified"),
     )
     judged = fixed_columns(
         counted,
@@ -183,31 +170,30 @@ def analyze_files(
         found_impacts=_impacts(),
         score=_score(),
     )
-    is_file, ok = F.col("filename").isNotNull(), ~F.col("failed")
-    when_file = lambda value: F.when(is_file, value)
+    # Rows without a name only keep their change set; failed files keep their counts.
+    chosen = lambda name, value, on_failure: F.expr(
+        f"CASE WHEN filename IS NULL THEN NULL WHEN failed THEN {on_failure} ELSE {value} END AS {name}"
+    )
+    default = sql_text(fixed.PURPOSE_DEFAULT)
+    purposes = f"CASE WHEN size(found_purposes) = 0 THEN array({default}) ELSE found_purposes END"
     listed = judged.select(
         *carried,
-        when_file(
-            F.when(ok, F.col("elements")).otherwise(F.array().cast(ELEMENTS))
-        ).alias("elements"),
-        when_file(
-            F.when(~ok, F.array(F.lit(fixed.PURPOSE_FAILED)))
-            .when(F.size("found_purposes") == 0, F.array(F.lit(fixed.PURPOSE_DEFAULT)))
-            .otherwise(F.col("found_purposes"))
-        ).alias("purposes"),
-        when_file(
-            F.when(ok, F.col("found_impacts")).otherwise(F.array(F.lit(fixed.IMPACT_FAILED)))
-        ).alias("impacts"),
-        when_file(F.when(ok, F.col("score")).otherwise(0)).alias("complexity_score"),
-        when_file(F.when(ok, "ok").otherwise("failed")).alias("status"),
+        chosen("elements", "elements", f"cast(array() AS {ELEMENTS})"),
+        chosen("purposes", purposes, f"array({sql_text(fixed.PURPOSE_FAILED)})"),
+        chosen("impacts", "found_impacts", f"array({sql_text(fixed.IMPACT_FAILED)})"),
+        chosen("complexity_score", "score", "0"),
+        chosen("status", "'ok'", "'failed'"),
+    )
+    joined = lambda name, source: F.expr(
+        f"CASE WHEN filename IS NOT NULL THEN array_join({source}, '; ') END AS {name}"
     )
     return listed.select(
         *carried,
         "elements",
         "purposes",
-        when_file(F.array_join("purposes", "; ")).alias("purpose_inference"),
+        joined("purpose_inference", "purposes"),
         "impacts",
-        when_file(F.array_join("impacts", "; ")).alias("impact_assessment"),
+        joined("impact_assessment", "impacts"),
         "complexity_score",
         "status",
     )

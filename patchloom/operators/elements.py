@@ -122,29 +122,21 @@ def _both_sides(patterns: Patterns) -> Column:
     )
 
 
-def _key(element: Column, name: str) -> Column:
-    return F.concat_ws(" ", element["element_type"], element[name])
+def _key(element: str, name: str) -> str:
+    return f"concat_ws(' ', {element}.element_type, {element}.{name})"
 
 
-def _not_modified(found: Column) -> Column:
-    """Drop the elements whose type and name are among the modified ones.
+def _not_modified(found: str) -> str:
+    """SQL dropping the elements whose type and name are among the modified ones.
 
     A file may change very many names.  Beyond a short list the names are
     spread over about sqrt(n) buckets, so a lookup reads one bucket only.
     """
-    keys, buckets = F.col("modified_keys"), F.col("modified_buckets")
-    bucket_of = lambda key: F.pmod(F.hash(key), F.size(buckets)) + 1
-    return F.when(F.size(keys) == 0, found).otherwise(
-        F.filter(
-            found,
-            lambda e: ~F.array_contains(
-                F.when(F.size(buckets) == 0, keys).otherwise(
-                    F.try_element_at(buckets, bucket_of(_key(e, "name")))
-                ),
-                _key(e, "name"),
-            ),
-        )
-    )
+    key = _key("e", "name")
+    bucket = f"try_element_at(modified_buckets, pmod(hash({key}), size(modified_buckets)) + 1)"
+    names = f"CASE WHEN size(modified_buckets) = 0 THEN modified_keys ELSE {bucket} END"
+    kept = f"filter({found}, e -> NOT array_contains({names}, {key}))"
+    return f"CASE WHEN size(modified_keys) = 0 THEN {found} ELSE {kept} END"
 
 
 def structural_changes(
@@ -168,72 +160,57 @@ def structural_changes(
         F.get("found", F.lit(0)).alias("found_added"),
         F.get("found", F.lit(1)).alias("found_removed"),
     )
-    own_keys = lambda c: F.transform(
-        F.filter(c, lambda e: e["own_name"] != ""), lambda e: _key(e, "own_name")
+    own_keys = lambda side: (
+        f"transform(filter({side}, e -> e.own_name <> ''), e -> {_key('e', 'own_name')})"
     )
-    both = F.array_intersect(own_keys("found_added"), own_keys("found_removed"))
-    keyed = fixed_columns(found, found.columns, modified_keys=both)
-    n_buckets = F.ceil(F.sqrt(F.size("modified_keys"))).cast("int")
+    both = f"array_intersect({own_keys('found_added')}, {own_keys('found_removed')})"
+    keyed = fixed_columns(found, found.columns, modified_keys=F.expr(both))
+    n_buckets = "cast(ceil(sqrt(size(modified_keys))) AS int)"
     bucketed = keyed.withColumn(
         "modified_buckets",
-        F.when(
-            F.size("modified_keys") > KEPT_IN_ONE_LIST,
-            F.transform(
-                F.sequence(F.lit(0), n_buckets - 1),
-                lambda b: F.filter(
-                    "modified_keys", lambda k: F.pmod(F.hash(k), n_buckets) == b
-                ),
-            ),
-        ).otherwise(F.array().cast("array<array<string>>")),
+        F.expr(
+            f"CASE WHEN size(modified_keys) > {KEPT_IN_ONE_LIST} THEN"
+            f" transform(sequence(0, {n_buckets} - 1), b ->"
+            f" filter(modified_keys, k -> pmod(hash(k), {n_buckets}) = b))"
+            " ELSE cast(array() AS array<array<string>>) END"
+        ),
     )
-    nothing = F.lit(None).cast("string")
-
-    def entry(element_type: Column, name: Column, verb: str, before: Column, after: Column) -> Column:
-        return F.struct(
-            F.concat(element_type, F.lit("_" + verb)).alias("change_type"),
-            name.alias("element_name"),
-            F.concat(
-                F.lit(verb.capitalize() + " "), element_type, F.lit(" '"), name, F.lit("'")
-            ).alias("description"),
-            before.alias("before"),
-            after.alias("after"),
+
+    def entries(source: str, element_type: str, name: str, verb: str, before: str, after: str) -> str:
+        return (
+            f"transform({source}, e -> named_struct('change_type', concat({element_type}, '_{verb}'),"
+            f" 'element_name', {name}, 'description',"
+            f" concat('{verb.capitalize()} ', {element_type}, ' \\'', {name}, '\\''),"
+            f" 'before', {before}, 'after', {after}))"
         )
 
-    added = F.transform(
-        _not_modified(F.col("found_added")),
-        lambda e: entry(e["element_type"], e["name"], "added", nothing, e["content"]),
+    nothing = "cast(NULL AS string)"
+    added = entries(
+        _not_modified("found_added"), "e.element_type", "e.name", "added", nothing, "e.content"
     )
-    removed = F.transform(
-        _not_modified(F.col("found_removed")),
-        lambda e: entry(e["element_type"], e["name"], "removed", e["content"], nothing),
+    removed = entries(
+        _not_modified("found_removed"), "e.element_type", "e.name", "removed", "e.content", nothing
     )
-    modified = F.transform(
+    modified = entries(
         "modified_keys",
-        lambda k: entry(
-            F.substring_index(k, " ", 1),
-            F.substr(k, F.instr(k, " ") + 1),
-            "modified",
-            nothing,
-            nothing,
-        ),
+        "substring_index(e, ' ', 1)",
+        "substr(e, instr(e, ' ') + 1)",
+        "modified",
+        nothing,
+        nothing,
     )
-    groupless = [
-        (language, element_type)
+    nameless = " OR ".join(
+        f"(language = {sql_text(language)} AND exists(concat(found_added, found_removed),"
+        f" e -> e.element_type = {sql_text(element_type)}))"
         for language, by_type in patterns.items()
         for element_type, pattern in by_type.items()
         if group_count(pattern) == 0
-    ]
-    flagged = F.lit(False)
-    for language, element_type in groupless:
-        hit = lambda c, t=element_type: F.exists(c, lambda e: e["element_type"] == t)
-        flagged = flagged | (
-            (F.col("language") == language) & (hit("found_added") | hit("found_removed"))
-        )
+    )
     return fixed_columns(
         bucketed,
         files.columns,
-        elements=F.concat(added, removed, modified).cast(ELEMENTS),
-        matched_without_name=flagged,
+        elements=F.expr(f"cast(concat({added}, {removed}, {modified}) AS {ELEMENTS})"),
+        matched_without_name=F.expr(nameless or "false"),
     )
 
 

@@ -17,8 +17,6 @@ from patchloom.functions.text import json_string_sql
 from patchloom.operators.parse import DIFF_ID
 from patchloom.operators.summary import STAT_NAMES
 
-STRINGS = "array<string>"
-
 
 def supported_formats() -> list[str]:
     return list(FORMATS)
@@ -28,36 +26,25 @@ def is_supported_format(name: str) -> bool:
     return name.lower() in FORMATS
 
 
-def _bullets(items: Column, mark: str = "- ") -> Column:
-    return F.transform(items, lambda text: F.concat(F.lit(mark), text))
+def _bullets(items: str, mark: str = "- ") -> str:
+    return f"transform({items}, x -> concat('{mark}', x))"
 
 
-def _numbered(items: Column) -> Column:
-    return F.transform(
-        items, lambda text, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". "), text)
-    )
+def _numbered(items: str) -> str:
+    return f"transform({items}, (x, i) -> concat('  ', i + 1, '. ', x))"
 
 
-def _strings(*texts: str) -> Column:
-    return F.array(*[F.lit(text) for text in texts])
+def _strings(*texts: str) -> str:
+    return "array(" + ", ".join(f"'{text}'" for text in texts) + ")"
 
 
-def _section(title: str, items: Column, body: Column) -> Column:
-    """Title, body and a blank line; nothing when there are no items."""
-    return F.when(
-        F.size(items) > 0, F.concat(_strings(title), body, _strings(""))
-    ).otherwise(F.array().cast(STRINGS))
+def _if_any(items: str, lines: str) -> str:
+    return f"CASE WHEN size({items}) > 0 THEN {lines} ELSE cast(array() AS array<string>) END"
 
 
-def _statistics(line: str, labels: Mapping[str, str]) -> Column:
-    """Counter lines; counters of a file kind are left out when zero."""
-    entries = []
-    for name, label in labels.items():
-        value = F.col(f"statistics.{name}")
-        sign = {"total_lines_added": "+", "total_lines_removed": "-"}.get(name, "")
-        text = F.concat(F.lit(line % label + " " + sign), value.cast("string"))
-        entries.append(F.when(value > 0, text) if name.startswith("files_") else text)
-    return F.array_compact(F.array(*entries))
+def _section(title: str, items: str, body: str) -> str:
+    """Title, body and a blank line; nothing when there are no items."""
+    return _if_any(items, f"concat({_strings(title)}, {body}, {_strings('')})")
 
 
 # Labels of the six counters.
@@ -71,77 +58,56 @@ LABELS = {
 }
 
 
-def _markdown_file(f: Column) -> Column:
-    changes = f["key_changes"]
-    return F.concat(
-        F.array(F.concat(F.lit("### "), f["filename"]), f["summary"]),
-        F.when(
-            F.size(changes) > 0, F.concat(_strings("", "**Key changes:**"), _bullets(changes))
-        ).otherwise(F.array().cast(STRINGS)),
-        _strings(""),
-    )
-
-
-def _plain_file(f: Column) -> Column:
-    changes = f["key_changes"]
-    return F.concat(
-        F.array(
-            F.concat(F.lit("File: "), f["filename"]), F.concat(F.lit("Summary: "), f["summary"])
-        ),
-        F.when(
-            F.size(changes) > 0, F.concat(_strings("Key changes:"), _bullets(changes, "  - "))
-        ).otherwise(F.array().cast(STRINGS)),
-        _strings(""),
-    )
-
-
-def _markdown_head() -> Column:
-    changes = F.col("key_changes")
-    return F.concat(
-        _strings("# Code Change Summary", "", "## Overview"),
-        F.array(F.col("overview")),
-        _strings("", "## Statistics"),
-        _statistics("- **%s:**", LABELS),
-        _strings(""),
-        _section("## Key Changes", changes, _bullets(changes)),
-    )
-
-
-def _plain_head() -> Column:
-    changes = F.col("key_changes")
-    return F.concat(
-        _strings("CODE CHANGE SUMMARY", "=" * 50, "", "OVERVIEW:"),
-        F.array(F.col("overview")),
-        _strings("", "STATISTICS:"),
-        _statistics("  %s:", LABELS),
-        _strings(""),
-        _section("KEY CHANGES:", changes, _numbered(changes)),
-    )
-
-
-def _markdown_tail() -> Column:
-    advice = F.col("recommendations")
-    return _section("## Recommendations", advice, _bullets(advice))
-
-
-def _plain_tail() -> Column:
-    advice = F.col("recommendations")
-    return _section("RECOMMENDATIONS:", advice, _numbered(advice))
+def _statistics(line: str) -> str:
+    """Counter lines; counters of a file kind are left out when zero."""
+    entries = []
+    for name, label in LABELS.items():
+        value = f"statistics.{name}"
+        sign = {"total_lines_added": "+", "total_lines_removed": "-"}.get(name, "")
+        text = f"concat('{line % label} {sign}', {value})"
+        entries.append(f"CASE WHEN {value} > 0 THEN {text} END" if name.startswith("files_") else text)
+    return f"array_compact(array({', '.join(entries)}))"
 
 
+# Each layout is SQL of arrays of lines: head, title of the file list, one file
+# ``f`` and tail.
 _LAYOUTS = {
-    "markdown": (_markdown_head, ["## File Details"], _markdown_file, _markdown_tail),
-    "plain": (_plain_head, ["FILE DETAILS:", "-" * 30], _plain_file, _plain_tail),
+    "markdown": (
+        f"concat({_strings('# Code Change Summary', '', '## Overview')}, array(overview),"
+        f" {_strings('', '## Statistics')}, {_statistics('- **%s:**')}, {_strings('')},"
+        f" {_section('## Key Changes', 'key_changes', _bullets('key_changes'))})",
+        _strings("## File Details"),
+        "concat(array(concat('### ', f.filename), f.summary), "
+        + _if_any(
+            "f.key_changes", f"concat({_strings('', '**Key changes:**')}, {_bullets('f.key_changes')})"
+        )
+        + f", {_strings('')})",
+        _section("## Recommendations", "recommendations", _bullets("recommendations")),
+    ),
+    "plain": (
+        f"concat({_strings('CODE CHANGE SUMMARY', '=' * 50, '', 'OVERVIEW:')}, array(overview),"
+        f" {_strings('', 'STATISTICS:')}, {_statistics('  %s:')}, {_strings('')},"
+        f" {_section('KEY CHANGES:', 'key_changes', _numbered('key_changes'))})",
+        _strings("FILE DETAILS:", "-" * 30),
+        "concat(array(concat('File: ', f.filename), concat('Summary: ', f.summary)), "
+        + _if_any(
+            "f.key_changes", f"concat({_strings('Key changes:')}, {_bullets('f.key_changes', '  - ')})"
+        )
+        + f", {_strings('')})",
+        _section("RECOMMENDATIONS:", "recommendations", _numbered("recommendations")),
+    ),
 }
 
 
+def _joined(lines: str) -> str:
+    return f"array_join({lines}, '\\n')"
+
+
 def _laid_out(layout: str) -> Column:
     head, title, file_lines, tail = _LAYOUTS[layout]
-    files = F.col("file_summaries")
-    details = F.when(
-        F.size(files) > 0, F.concat(_strings(*title), F.flatten(F.transform(files, file_lines)))
-    ).otherwise(F.array().cast(STRINGS))
-    return F.array_join(F.concat(head(), details, tail()), "\n")
+    files = f"flatten(transform(file_summaries, f -> {file_lines}))"
+    details = _if_any("file_summaries", f"concat({title}, {files})")
+    return F.expr(_joined(f"concat({head}, {details}, {tail})"))
 
 
 def as_markdown() -> Column:
@@ -178,18 +144,13 @@ def as_json() -> Column:
     )
 
 
-def template_file_block(files: Column) -> Column:
+def template_file_block(files: str = "file_summaries") -> Column:
     """"- file: summary" lines with their key changes below."""
-    lines = F.flatten(
-        F.transform(
-            files,
-            lambda f: F.concat(
-                F.array(F.concat(F.lit("- "), f["filename"], F.lit(": "), f["summary"])),
-                _bullets(f["key_changes"], "  - "),
-            ),
-        )
+    lines = (
+        f"flatten(transform({files}, f -> concat(array(concat('- ', f.filename, ': ', f.summary)),"
+        f" {_bullets('f.key_changes', '  - ')})))"
     )
-    return F.when(F.size(files) > 0, F.array_join(lines, "\n")).otherwise(F.lit(NO_FILE_SUMMARIES))
+    return F.expr(f"CASE WHEN size({files}) > 0 THEN {_joined(lines)} ELSE '{NO_FILE_SUMMARIES}' END")
 
 
 def _template_values() -> dict[str, Column]:
@@ -202,9 +163,9 @@ def _template_values() -> dict[str, Column]:
         counter("files_deleted"),
         counter("total_lines_added"),
         counter("total_lines_removed"),
-        F.array_join(_bullets(F.col("key_changes")), "\n"),
-        F.array_join(_bullets(F.col("recommendations")), "\n"),
-        template_file_block(F.col("file_summaries")),
+        F.expr(_joined(_bullets("key_changes"))),
+        F.expr(_joined(_bullets("recommendations"))),
+        template_file_block(),
     ]
     return dict(zip(TEMPLATE_VARIABLES, values, strict=True))
 
@@ -318,15 +279,15 @@ def render_parts(
     if layout not in _LAYOUTS:
         raise ValueError("Only plain and Markdown text come in parts")
     head, title, file_lines, tail = _LAYOUTS[layout]
-    joined = lambda lines: F.array_join(lines, "\n")
-    titled = F.when(
-        F.col("statistics.total_files") > 0, F.concat(head(), _strings(*title))
-    ).otherwise(head())
+    text = lambda lines: F.expr(f"{_joined(lines)} AS text")
+    titled = f"CASE WHEN statistics.total_files > 0 THEN concat({head}, {title}) ELSE {head} END"
+    top = headers.select(*keys, F.lit(0).cast("bigint").alias("part"), text(titled))
+    rows = files.select(
+        *keys, F.col("file_seq").alias("part"), F.struct("filename", "summary", "key_changes").alias("f")
+    )
+    middle = rows.select(*keys, "part", text(file_lines))
     # Files are numbered from 1; the tail stands after the last possible one.
-    top = headers.select(*keys, F.lit(0).cast("bigint").alias("part"), joined(titled).alias("text"))
-    row = F.struct("filename", "summary", "key_changes")
-    middle = files.select(*keys, F.col("file_seq").alias("part"), joined(file_lines(row)).alias("text"))
     end = headers.where(F.size("recommendations") > 0).select(
-        *keys, F.lit((1 << 63) - 1).alias("part"), joined(tail()).alias("text")
+        *keys, F.lit((1 << 63) - 1).alias("part"), text(tail)
     )
     return top.unionByName(middle).unionByName(end)

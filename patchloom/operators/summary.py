@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchloom import fixed_values as fixed
+from patchloom.functions.text import sql_text
 from patchloom.operators.parse import DIFF_ID, fixed_columns
 
 CHUNK = 4096
@@ -21,18 +22,6 @@ VERBS = ("added", "removed", "modified")
 STRINGS = "array<string>"
 
 
-def _compact(*texts: Column) -> Column:
-    return F.array_compact(F.array(*texts))
-
-
-def _count(condition: Column) -> Column:
-    return F.count_if(F.coalesce(condition, F.lit(False)))
-
-
-def _any(condition: Column) -> Column:
-    return F.coalesce(F.bool_or(condition), F.lit(False))
-
-
 def describe_elements(elements: str = "elements") -> Column:
     """"added function f, removed 2 functions; added class C": types in first-seen order."""
     base = "substring_index(e.change_type, '_', 1)"
@@ -53,39 +42,24 @@ def describe_elements(elements: str = "elements") -> Column:
 
 def change_description() -> Column:
     """One sentence per file, over the columns ``analyze_files`` gives."""
-    name, added, removed = F.col("filename"), F.col("lines_added"), F.col("lines_removed")
-    quoted = lambda column: F.concat(F.lit("'"), column, F.lit("'"))
-    kind = (
-        F.when(F.col("change_type") == "added", F.concat(F.lit("Added new file "), quoted(name)))
-        .when(F.col("change_type") == "deleted", F.concat(F.lit("Deleted file "), quoted(name)))
-        .when(
-            F.col("change_type") == "renamed",
-            F.concat(
-                F.lit("Renamed "),
-                quoted(F.coalesce("old_filename", F.lit("None"))),
-                F.lit(" to "),
-                quoted(name),
-            ),
-        )
-        .otherwise(F.concat(F.lit("Modified "), quoted(name)))
-    )
-    counts = F.array_join(
-        _compact(
-            F.when(added > 0, F.concat(F.lit("+"), added.cast("string"), F.lit(" lines"))),
-            F.when(removed > 0, F.concat(F.lit("-"), removed.cast("string"), F.lit(" lines"))),
-        ),
-        ", ",
+    name = "'\\'', filename, '\\''"
+    counts = (
+        "concat_ws(', ', CASE WHEN lines_added > 0 THEN concat('+', lines_added, ' lines') END,"
+        " CASE WHEN lines_removed > 0 THEN concat('-', lines_removed, ' lines') END)"
     )
-    structure = describe_elements()
-    purpose = F.col("purpose_inference")
     return F.concat_ws(
         " - ",
-        kind,
-        F.when(counts != "", F.concat(F.lit("("), counts, F.lit(")"))),
-        F.when(structure != "", structure),
-        F.when(
-            (purpose != "") & (purpose != fixed.PURPOSE_DEFAULT),
-            F.concat(F.lit("Purpose: "), purpose),
+        F.expr(
+            f"CASE change_type WHEN 'added' THEN concat('Added new file ', {name})"
+            f" WHEN 'deleted' THEN concat('Deleted file ', {name})"
+            f" WHEN 'renamed' THEN concat('Renamed \\'', coalesce(old_filename, 'None'), '\\' to ', {name})"
+            f" ELSE concat('Modified ', {name}) END"
+        ),
+        F.expr(f"CASE WHEN lines_added > 0 OR lines_removed > 0 THEN concat('(', {counts}, ')') END"),
+        F.nullif(describe_elements(), F.lit("")),
+        F.expr(
+            f"CASE WHEN purpose_inference NOT IN ('', '{fixed.PURPOSE_DEFAULT}')"
+            " THEN concat('Purpose: ', purpose_inference) END"
         ),
     )
 
@@ -132,16 +106,15 @@ def _elements_type(analysis: DataFrame) -> str:
 
 def statistics(files: DataFrame, keys: Sequence[str] = DIFF_ID) -> DataFrame:
     """Counts of files by kind and of lines, per change set: one hash aggregate."""
-    named = F.col("filename") != ""
-    kind = lambda value: named & (F.col("change_type") == value)
-    total = lambda name: F.coalesce(F.sum(F.when(named, F.col(name))), F.lit(0))
+    kind = lambda value: f"count_if(filename <> '' AND change_type = '{value}')"
+    total = lambda name: f"coalesce(sum(CASE WHEN filename <> '' THEN {name} END), 0L)"
     return files.groupBy(*keys).agg(
-        _count(named).alias("total_files"),
-        _count(kind("added")).alias("files_added"),
-        _count(kind("modified")).alias("files_modified"),
-        _count(kind("deleted")).alias("files_deleted"),
-        total("lines_added").alias("total_lines_added"),
-        total("lines_removed").alias("total_lines_removed"),
+        F.expr("count_if(filename <> '') AS total_files"),
+        F.expr(f"{kind('added')} AS files_added"),
+        F.expr(f"{kind('modified')} AS files_modified"),
+        F.expr(f"{kind('deleted')} AS files_deleted"),
+        F.expr(f"{total('lines_added')} AS total_lines_added"),
+        F.expr(f"{total('lines_removed')} AS total_lines_removed"),
     )
 
 
@@ -168,36 +141,23 @@ def top_purposes(
     )
 
 
-def overview_text(stats: dict[str, Column], top: Column) -> Column:
+def overview_text() -> Column:
     """The one-line overview from the six counters and the top purposes."""
-    number = lambda name: stats[name].cast("string")
-    files = F.when(stats["total_files"] == 1, F.lit("1 file changed")).otherwise(
-        F.concat(number("total_files"), F.lit(" files changed"))
+    parts = ", ".join(
+        f"CASE WHEN files_{word} > 0 THEN concat(files_{word}, ' {word}') END"
+        for word in ("added", "modified", "deleted")
     )
-    part = lambda name, word: F.when(
-        stats[name] > 0, F.concat(number(name), F.lit(" " + word))
+    lines = (
+        "concat_ws(', ', CASE WHEN total_lines_added > 0 THEN concat('+', total_lines_added) END,"
+        " CASE WHEN total_lines_removed > 0 THEN concat('-', total_lines_removed) END)"
     )
-    lines = F.array_join(
-        _compact(
-            F.when(
-                stats["total_lines_added"] > 0, F.concat(F.lit("+"), number("total_lines_added"))
-            ),
-            F.when(
-                stats["total_lines_removed"] > 0, F.concat(F.lit("-"), number("total_lines_removed"))
-            ),
-        ),
-        ", ",
-    )
-    text = F.concat_ws(
-        ". ",
-        files,
-        part("files_added", "added"),
-        part("files_modified", "modified"),
-        part("files_deleted", "deleted"),
-        F.when(lines != "", F.concat(F.lit("("), lines, F.lit(" lines)"))),
-        F.when(F.size(top) > 0, F.concat(F.lit("Primary focus: "), F.array_join(top, ", "))),
+    return F.expr(
+        "concat(concat_ws('. ',"
+        " CASE WHEN total_files = 1 THEN '1 file changed' ELSE concat(total_files, ' files changed') END,"
+        f" {parts},"
+        f" CASE WHEN total_lines_added > 0 OR total_lines_removed > 0 THEN concat('(', {lines}, ' lines)') END,"
+        " CASE WHEN size(top) > 0 THEN concat('Primary focus: ', array_join(top, ', ')) END), '.')"
     )
-    return F.concat(text, F.lit("."))
 
 
 # The lists of the key-change report, in order: a condition on a file each.
@@ -249,42 +209,32 @@ def _counted_purposes(entries: str) -> Column:
 
 def _key_changes() -> Column:
     """Texts of the five lists, the first ten in all."""
-    entries = lambda i: F.expr(f"filter(noted, x -> x.list = {i})")
-    named = lambda i, words: F.transform(
-        entries(i), lambda f: F.concat(F.lit(words), f["filename"])
+    named = lambda i, text: f"transform(filter(noted, x -> x.list = {i}), f -> {text})"
+    starting = lambda i, words: named(i, f"concat('{words}', f.filename)")
+    new = (
+        f"CASE WHEN files_added > {fixed.NEW_FILES_LISTED} THEN"
+        " array(concat('Multiple new files added (', files_added, ' files)'))"
+        f" ELSE {starting(1, 'New file: ')} END"
     )
-    new = F.when(
-        F.col("files_added") > fixed.NEW_FILES_LISTED,
-        F.array(F.format_string("Multiple new files added (%d files)", F.col("files_added"))),
-    ).otherwise(named(1, "New file: "))
-    large = F.transform(
-        entries(3),
-        lambda f: F.format_string("Large change in %s (%d lines)", f["filename"], f["n"]),
-    )
-    every = F.concat(
-        named(0, "High complexity change in "),
-        new,
-        named(2, "Deleted file: "),
-        large,
-        named(4, "Multiple class changes in "),
+    large = named(3, "concat('Large change in ', f.filename, ' (', f.n, ' lines)')")
+    return F.expr(
+        f"slice(concat({starting(0, 'High complexity change in ')}, {new},"
+        f" {starting(2, 'Deleted file: ')}, {large}, {starting(4, 'Multiple class changes in ')}),"
+        f" 1, {fixed.MAX_KEY_CHANGES})"
     )
-    return F.slice(every, 1, fixed.MAX_KEY_CHANGES)
 
 
 def _recommendations() -> Column:
-    lines = F.col("total_lines_added") + F.col("total_lines_removed")
-    rules = _compact(
-        F.when(
-            F.col("n_high") > 0,
-            F.format_string("Review %d high-complexity changes carefully", F.col("n_high")),
-        ),
-        F.when(F.col("n_other") > 2 * F.col("n_test"), F.lit(fixed.ADVICE_TESTS)),
-        F.when(F.col("first_feature").isNotNull() & F.col("first_doc").isNull(), F.lit(fixed.ADVICE_DOCS)),
-        F.when(F.col("any_api"), F.lit(fixed.ADVICE_API)),
-        F.when(lines > fixed.LARGE_CHANGE_SET_OVER, F.lit(fixed.ADVICE_SIZE)),
-        F.when(F.col("any_import"), F.lit(fixed.ADVICE_IMPORTS)),
-    )
-    return F.slice(rules, 1, fixed.MAX_RECOMMENDATIONS)
+    rules = [
+        ("n_high > 0", "concat('Review ', n_high, ' high-complexity changes carefully')"),
+        ("n_other > 2 * n_test", sql_text(fixed.ADVICE_TESTS)),
+        ("first_feature IS NOT NULL AND first_doc IS NULL", sql_text(fixed.ADVICE_DOCS)),
+        ("any_api", sql_text(fixed.ADVICE_API)),
+        (f"total_lines_added + total_lines_removed > {fixed.LARGE_CHANGE_SET_OVER}", sql_text(fixed.ADVICE_SIZE)),
+        ("any_import", sql_text(fixed.ADVICE_IMPORTS)),
+    ]
+    texts = ", ".join(f"CASE WHEN {condition} THEN {text} END" for condition, text in rules)
+    return F.expr(f"slice(array_compact(array({texts})), 1, {fixed.MAX_RECOMMENDATIONS})")
 
 
 STAT_NAMES = [
@@ -372,21 +322,22 @@ def _report(rolled: DataFrame, keys: Sequence[str], with_files: bool) -> DataFra
     # A missing purpose spoils the roll-up unless both searches through the
     # purposes had already stopped at an earlier file.
     far = (1 << 63) - 1
-    failed = F.expr(
+    rolled = rolled.withColumn("failed", F.expr(
         "coalesce(any_missing, false)"
         f" OR coalesce(first_null_purpose < coalesce(first_doc, {far}), false)"
         f" OR coalesce(first_null_purpose < coalesce(first_feature, {far}), false)"
-    )
+    ))
+    failed = F.col("failed")
     none = F.array().cast(STRINGS)
-    stats = {name: F.col(name) for name in STAT_NAMES}
+    zeroed = lambda name: f"'{name}', CASE WHEN failed THEN 0L ELSE {name} END"
     columns = [
         F.when(empty, fixed.NO_CHANGES)
         .when(failed, fixed.ROLLUP_FAILED)
-        .otherwise(overview_text(stats, F.col("top")))
+        .otherwise(overview_text())
         .alias("overview"),
-        F.struct(
-            *[F.when(failed, F.lit(0)).otherwise(F.col(name)).alias(name) for name in STAT_NAMES]
-        ).alias("statistics"),
+        F.expr(
+            f"named_struct({', '.join(zeroed(name) for name in STAT_NAMES)}) AS statistics"
+        ),
         F.when(empty | failed, none).otherwise(_key_changes()).alias("key_changes"),
         F.when(empty, none)
         .when(failed, F.array(F.lit(fixed.ROLLUP_FAILED_ADVICE)))

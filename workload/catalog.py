@@ -150,7 +150,7 @@ def _summaries(compat: bool = False) -> Query:
             "overview",
             "statistics.*",
             *_joined("key_changes", "recommendations"),
-            render.template_file_block(F.col("file_summaries")).alias("file_summaries"),
+            render.template_file_block().alias("file_summaries"),
             "parsed_files",
         )
 
@@ -173,7 +173,7 @@ def _rendered(format_name: str = "plain", **options) -> Query:
 
 def _file_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = reports.summarize_diffs(diffs(spark, sf_dir))
-    block = render.template_file_block(F.col("file_summaries"))
+    block = render.template_file_block()
     return rows.select("diff_id", block.alias("file_summaries"))
 
 
