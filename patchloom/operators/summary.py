@@ -246,30 +246,43 @@ STAT_NAMES = [
     "total_lines_removed",
 ]
 
-IS_TEST = "(contains(lower(filename), 'test') OR contains(lower(filename), 'spec'))"
 IS_MISSING = (
     "(lines_added IS NULL OR lines_removed IS NULL OR complexity_score IS NULL OR impact_assessment IS NULL)"
 )
-HAS_IMPORT = "exists(elements, e -> contains(e.change_type, 'import'))"
+
+# What the roll-up needs to know of one file; false where there is no file.
+_FLAGS = {
+    "is_added": "change_type = 'added'",
+    "is_modified": "change_type = 'modified'",
+    "is_deleted": "change_type = 'deleted'",
+    "is_high": f"complexity_score >= {fixed.SCORE_HIGH}",
+    "is_test": "contains(lower(filename), 'test') OR contains(lower(filename), 'spec')",
+    "has_doc": "contains(lower(purpose_inference), 'documentation')",
+    "has_feature": "contains(lower(purpose_inference), 'feature addition')",
+    "has_no_purpose": "purpose_inference IS NULL",
+    "has_api": "contains(lower(impact_assessment), 'public api')",
+    "has_import": "exists(elements, e -> contains(e.change_type, 'import'))",
+    "has_missing": IS_MISSING,
+}
 
 # One chunk's numbers, over rows whose filename is NULL when there is no file.
 _PER_CHUNK = {
     "parsed_files": "count(file_seq)",
     "total_files": "count(filename)",
-    "files_added": "count_if(filename IS NOT NULL AND change_type = 'added')",
-    "files_modified": "count_if(filename IS NOT NULL AND change_type = 'modified')",
-    "files_deleted": "count_if(filename IS NOT NULL AND change_type = 'deleted')",
+    "files_added": "count_if(is_added)",
+    "files_modified": "count_if(is_modified)",
+    "files_deleted": "count_if(is_deleted)",
     "total_lines_added": "coalesce(sum(CASE WHEN filename IS NOT NULL THEN lines_added END), 0L)",
     "total_lines_removed": "coalesce(sum(CASE WHEN filename IS NOT NULL THEN lines_removed END), 0L)",
-    "n_high": f"count_if(filename IS NOT NULL AND complexity_score >= {fixed.SCORE_HIGH})",
-    "n_test": f"count_if({IS_TEST})",
-    "n_other": f"count_if(NOT {IS_TEST})",
-    "first_doc": "min(CASE WHEN contains(lower(purpose_inference), 'documentation') THEN file_seq END)",
-    "first_feature": "min(CASE WHEN contains(lower(purpose_inference), 'feature addition') THEN file_seq END)",
-    "first_null_purpose": "min(CASE WHEN filename IS NOT NULL AND purpose_inference IS NULL THEN file_seq END)",
-    "any_api": "coalesce(bool_or(contains(lower(impact_assessment), 'public api')), false)",
-    "any_import": f"coalesce(bool_or({HAS_IMPORT}), false)",
-    "any_missing": f"coalesce(bool_or(filename IS NOT NULL AND {IS_MISSING}), false)",
+    "n_high": "count_if(is_high)",
+    "n_test": "count_if(is_test)",
+    "n_other": "count_if(filename IS NOT NULL AND NOT is_test)",
+    "first_doc": "min(CASE WHEN has_doc THEN file_seq END)",
+    "first_feature": "min(CASE WHEN has_feature THEN file_seq END)",
+    "first_null_purpose": "min(CASE WHEN has_no_purpose THEN file_seq END)",
+    "any_api": "bool_or(has_api)",
+    "any_import": "bool_or(has_import)",
+    "any_missing": "bool_or(has_missing)",
 }
 
 
@@ -280,9 +293,15 @@ def _merge(name: str) -> str:
 def _rollup(files: DataFrame, keys: Sequence[str], known_purposes: bool, with_files: bool) -> DataFrame:
     """Counters, flags and short lists of each change set, chunk by chunk."""
     lists = {"noted": _first_noted("noted")}
+    flags = {
+        name: F.expr(f"coalesce(filename IS NOT NULL AND ({condition}), false)")
+        for name, condition in _FLAGS.items()
+    }
+    texts = ["summary", "file_key_changes"] if with_files else []
     noted = fixed_columns(
         files,
-        files.columns,
+        [*keys, "file_seq", "filename", "lines_added", "lines_removed", *texts],
+        **flags,
         noted=F.when(F.col("filename").isNotNull(), _noted()),
         **({"counted": _purpose_entries()} if known_purposes else {}),
     )
