@@ -279,15 +279,15 @@ def render_parts(
     if layout not in _LAYOUTS:
         raise ValueError("Only plain and Markdown text come in parts")
     head, title, file_lines, tail = _LAYOUTS[layout]
-    text = lambda lines: F.expr(f"{_joined(lines)} AS text")
     titled = f"CASE WHEN statistics.total_files > 0 THEN concat({head}, {title}) ELSE {head} END"
-    top = headers.select(*keys, F.lit(0).cast("bigint").alias("part"), text(titled))
+    last = f"CASE WHEN size(recommendations) > 0 THEN {_joined(tail)} END"
+    # Files are numbered from 1; the tail stands after the last possible one.
+    ends = F.expr(
+        f"inline(array(named_struct('part', 0L, 'text', {_joined(titled)}),"
+        f" named_struct('part', {(1 << 63) - 1}, 'text', {last})))"
+    )
+    around = headers.select(*keys, ends).where(F.col("text").isNotNull())
     rows = files.select(
         *keys, F.col("file_seq").alias("part"), F.struct("filename", "summary", "key_changes").alias("f")
     )
-    middle = rows.select(*keys, "part", text(file_lines))
-    # Files are numbered from 1; the tail stands after the last possible one.
-    end = headers.where(F.size("recommendations") > 0).select(
-        *keys, F.lit((1 << 63) - 1).alias("part"), text(tail)
-    )
-    return top.unionByName(middle).unionByName(end)
+    return around.unionByName(rows.select(*keys, "part", F.expr(f"{_joined(file_lines)} AS text")))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from patchloom import fixed_values as fixed
 from patchloom.functions.text import sql_text
-from patchloom.operators.parse import DIFF_ID, fixed_columns
+from patchloom.operators.parse import DIFF_ID, explode_rows, fixed_columns
 
 CHUNK = 4096
 VERBS = ("added", "removed", "modified")
@@ -127,11 +127,13 @@ def top_purposes(
     set and purpose; the ranking keeps ``limit`` rows per change set on the map
     side already.
     """
-    parts = analysis.where(F.col("purpose_inference") != "").select(
-        *keys, "file_seq", F.posexplode(F.split("purpose_inference", "; ")).alias("pos", "purpose")
-    )
+    named = analysis.where(F.col("purpose_inference") != "")
+    purposes = F.split("purpose_inference", "; ")
+    parts = explode_rows(named, [*keys, "file_seq"], purposes, "pos", "purpose")
+    # One number for (file_seq, pos): a fixed-width minimum keeps the aggregate hash-based.
+    place = F.expr("cast(file_seq AS DECIMAL(20, 0)) * 4294967296 + pos")
     counted = parts.groupBy(*keys, "purpose").agg(
-        F.count("*").alias("n_files"), F.min(F.struct("file_seq", "pos")).alias("first_seen")
+        F.count("*").alias("n_files"), F.min(place).alias("first_seen")
     )
     order = Window.partitionBy(*keys).orderBy(F.desc("n_files"), F.asc("first_seen"))
     return (
@@ -181,9 +183,9 @@ def _noted() -> Column:
 
 
 def _first_noted(entries: str) -> Column:
-    """The first ten entries of each list, by file order."""
+    """The first ten entries of each list; the entries come sorted by list and file."""
     firsts = ", ".join(
-        f"slice(filter(array_sort({entries}), x -> x.list = {i}), 1, {fixed.MAX_KEY_CHANGES})"
+        f"slice(filter({entries}, x -> x.list = {i}), 1, {fixed.MAX_KEY_CHANGES})"
         for i in range(len(LISTS))
     )
     return F.expr(f"concat({firsts})")
@@ -313,7 +315,7 @@ def _rollup(files: DataFrame, keys: Sequence[str], known_purposes: bool, with_fi
         return grouped.select(*kept, *rest, *[value.alias(name) for name, value in lists.items()])
 
     per_chunk = [F.expr(f"{value} AS {name}") for name, value in _PER_CHUNK.items()]
-    collected = [F.expr(f"flatten(collect_list({name})) AS {name}") for name in lists]
+    collected = [F.expr(f"array_sort(flatten(collect_list({name}))) AS {name}") for name in lists]
     file_list = []
     if with_files:
         file_list = [

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from patchloom.operators.parse import DIFF_ID, FILE_MARK
 
 PATH = ("path",)
+MAX_TEXTS_PER_FILE = 100_000  # bounds single output files
 
 
 def decoded(content: Column) -> Column:
@@ -90,7 +91,9 @@ def write_rendered(rendered: DataFrame, path: str, by: Sequence[str] = ()) -> No
 
     ``by`` puts each value of those columns into a folder of its own.
     """
-    rendered.select(*by, "rendered").write.mode("overwrite").partitionBy(*by).text(path)
+    rendered.select(*by, "rendered").write.mode("overwrite").option(
+        "maxRecordsPerFile", MAX_TEXTS_PER_FILE
+    ).partitionBy(*by).text(path)
 
 
 def write_parts(parts: DataFrame, path: str, keys: Sequence[str] = DIFF_ID) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +13,7 @@ from patchloom.functions.language import detect_language
 from patchloom.functions.text import is_blank, lines_text, looks_like_diff
 from patchloom.operators import analysis, elements, parse, render, summary
 from patchloom.plans import reports
+from patchloom.sources.patch_files import PATH, read_patch_files, read_patch_sections, write_rendered
 from workload import oracle
 from workload.corpus import diffs
 
@@ -190,6 +193,33 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.render_parts(headers, summary.file_summaries(analysed), "plain")
 
 
+def _scratch(spark: SparkSession) -> str:
+    """A new folder in the place the cluster shares; a local one only where none is named."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="patches-")
+
+
+def _patch_folder(spark: SparkSession, sf_dir: str) -> str:
+    """All file sections written as patch files by the text sink."""
+    sections = parse.file_sections(diffs(spark, sf_dir)).select(F.col("section").alias("rendered"))
+    folder = _scratch(spark) + "/patches"
+    write_rendered(sections, folder)
+    return folder
+
+
+FILE_COLUMNS = ["filename", "change_type", "old_filename", "lines_added", "lines_removed"]
+
+
+def _patch_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    patches = read_patch_files(spark, _patch_folder(spark, sf_dir))
+    return parse.parse_files(patches, PATH).select(*FILE_COLUMNS)
+
+
+def _patch_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sections = read_patch_sections(spark, _patch_folder(spark, sf_dir))
+    return parse.files_from_sections(sections, PATH).select(*FILE_COLUMNS)
+
+
 def queries() -> dict[str, Query]:
     return {
         "statistics": _statistics,
@@ -231,6 +261,8 @@ def queries() -> dict[str, Query]:
         "render_by_column": _by_column,
         "render_parts": _parts,
         "template_file_block": _file_blocks,
+        "patch_files": _patch_files,
+        "patch_sections": _patch_sections,
     }
 
 
@@ -422,4 +454,6 @@ def oracle_sql() -> dict[str, str]:
         ),
         "render_parts": _parts_sql(),
         "template_file_block": _summary_sql(f"SELECT diff_id, {oracle.file_block()} AS file_summaries FROM summaries"),
+        "patch_files": parse_sql(f"SELECT {', '.join(FILE_COLUMNS)} FROM files"),
+        "patch_sections": parse_sql(f"SELECT {', '.join(FILE_COLUMNS)} FROM files"),
     }
