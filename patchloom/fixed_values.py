@@ -215,11 +215,20 @@ NO_CHANGES = "No changes detected"
 ROLLUP_FAILED = "Error generating summary"
 FILE_SUMMARY_FAILED = "Error generating summary for "
 ROLLUP_FAILED_ADVICE = "Review failed - manual analysis recommended"
+NOTE_HIGH = "High complexity change in "
+NOTE_NEW = "New file: "
+NOTE_MANY_NEW = "Multiple new files added (%d files)"
+NOTE_DELETED = "Deleted file: "
+NOTE_LARGE = "Large change in %s (%d lines)"
+NOTE_CLASSES = "Multiple class changes in "
+ADVICE_HIGH = "Review %d high-complexity changes carefully"
 ADVICE_TESTS = "Consider adding tests for the new functionality"
 ADVICE_DOCS = "Consider updating documentation for new features"
 ADVICE_API = "API changes detected - ensure backward compatibility"
 ADVICE_SIZE = "Large-scale changes - consider breaking into smaller commits"
 ADVICE_IMPORTS = "Dependency changes detected - verify build and deployment"
+FILE_HIGH_SCORE = "High complexity change (score: %d/10)"
+FILE_MEDIUM_SCORE = "Medium complexity change (score: %d/10)"
 FILE_HIGH_IMPACT = "High impact change - review carefully"
 
 # Names of output formats and template variables.
@@ -237,3 +246,13 @@ TEMPLATE_VARIABLES = [
     "file_summaries",
 ]
 NO_FILE_SUMMARIES = "No file changes"
+
+# Labels of the six counters in plain and Markdown reports.
+COUNTER_LABELS = {
+    "total_files": "Total files changed",
+    "files_added": "Files added",
+    "files_modified": "Files modified",
+    "files_deleted": "Files deleted",
+    "total_lines_added": "Lines added",
+    "total_lines_removed": "Lines removed",
+}

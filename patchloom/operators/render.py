@@ -12,7 +12,12 @@ from string import Formatter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patchloom.fixed_values import FORMATS, NO_FILE_SUMMARIES, TEMPLATE_VARIABLES
+from patchloom.fixed_values import (
+    COUNTER_LABELS,
+    FORMATS,
+    NO_FILE_SUMMARIES,
+    TEMPLATE_VARIABLES,
+)
 from patchloom.functions.text import json_string_sql
 from patchloom.operators.parse import DIFF_ID
 from patchloom.operators.summary import STAT_NAMES
@@ -47,21 +52,10 @@ def _section(title: str, items: str, body: str) -> str:
     return _if_any(items, f"concat({_strings(title)}, {body}, {_strings('')})")
 
 
-# Labels of the six counters.
-LABELS = {
-    "total_files": "Total files changed",
-    "files_added": "Files added",
-    "files_modified": "Files modified",
-    "files_deleted": "Files deleted",
-    "total_lines_added": "Lines added",
-    "total_lines_removed": "Lines removed",
-}
-
-
 def _statistics(line: str) -> str:
     """Counter lines; counters of a file kind are left out when zero."""
     entries = []
-    for name, label in LABELS.items():
+    for name, label in COUNTER_LABELS.items():
         value = f"statistics.{name}"
         sign = {"total_lines_added": "+", "total_lines_removed": "-"}.get(name, "")
         text = f"concat('{line % label} {sign}', {value})"
@@ -70,7 +64,7 @@ def _statistics(line: str) -> str:
 
 
 # Each layout is SQL of arrays of lines: head, title of the file list, one file
-# ``f`` and tail.
+# ``f`` and tail.  Its titles and marks are fixed values.
 _LAYOUTS = {
     "markdown": (
         f"concat({_strings('# Code Change Summary', '', '## Overview')}, array(overview),"

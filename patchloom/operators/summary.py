@@ -72,8 +72,11 @@ def file_key_changes() -> Column:
         for verb in VERBS
     )
     score = " ".join(
-        f"WHEN complexity_score >= {least} THEN format_string('{word} complexity change (score: %d/10)', complexity_score)"
-        for least, word in ((fixed.SCORE_HIGH, "High"), (fixed.SCORE_MEDIUM, "Medium"))
+        f"WHEN complexity_score >= {least} THEN format_string('{text}', complexity_score)"
+        for least, text in (
+            (fixed.SCORE_HIGH, fixed.FILE_HIGH_SCORE),
+            (fixed.SCORE_MEDIUM, fixed.FILE_MEDIUM_SCORE),
+        )
     )
     return F.expr(
         f"array_compact(concat(transform(elements, e -> CASE {entry} END), array(CASE {score} END,"
@@ -215,20 +218,19 @@ def _key_changes() -> Column:
     starting = lambda i, words: named(i, f"concat('{words}', f.filename)")
     new = (
         f"CASE WHEN files_added > {fixed.NEW_FILES_LISTED} THEN"
-        " array(concat('Multiple new files added (', files_added, ' files)'))"
-        f" ELSE {starting(1, 'New file: ')} END"
+        f" array(format_string('{fixed.NOTE_MANY_NEW}', files_added))"
+        f" ELSE {starting(1, fixed.NOTE_NEW)} END"
     )
-    large = named(3, "concat('Large change in ', f.filename, ' (', f.n, ' lines)')")
+    large = named(3, f"format_string('{fixed.NOTE_LARGE}', f.filename, f.n)")
     return F.expr(
-        f"slice(concat({starting(0, 'High complexity change in ')}, {new},"
-        f" {starting(2, 'Deleted file: ')}, {large}, {starting(4, 'Multiple class changes in ')}),"
-        f" 1, {fixed.MAX_KEY_CHANGES})"
+        f"slice(concat({starting(0, fixed.NOTE_HIGH)}, {new}, {starting(2, fixed.NOTE_DELETED)},"
+        f" {large}, {starting(4, fixed.NOTE_CLASSES)}), 1, {fixed.MAX_KEY_CHANGES})"
     )
 
 
 def _recommendations() -> Column:
     rules = [
-        ("n_high > 0", "concat('Review ', n_high, ' high-complexity changes carefully')"),
+        ("n_high > 0", f"format_string('{fixed.ADVICE_HIGH}', n_high)"),
         ("n_other > 2 * n_test", sql_text(fixed.ADVICE_TESTS)),
         ("first_feature IS NOT NULL AND first_doc IS NULL", sql_text(fixed.ADVICE_DOCS)),
         ("any_api", sql_text(fixed.ADVICE_API)),
@@ -389,9 +391,11 @@ def summarize(
 
     ``with_files`` also puts every file's summary into one array per change
     set; leave it off for change sets too large for one row and read
-    ``file_summaries`` instead.  ``known_purposes`` counts purposes within the
-    same pass; use it only for rows made by ``analyze_files``.  Otherwise any
-    purpose text is counted, by ``top_purposes``.
+    ``file_summaries`` instead.  ``known_purposes`` counts the ``purposes``
+    lists within the same pass; it is meant for rows made by ``analyze_files``,
+    whose few distinct purposes come from a closed list.  Otherwise
+    ``purpose_inference`` is split and counted by ``top_purposes``, which takes
+    any number of distinct texts.
     """
     is_file = F.col("file_seq").isNotNull() & (F.col("filename") != "")
     elements = F.coalesce("elements", F.array().cast(_elements_type(analysis)))
