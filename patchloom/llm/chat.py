@@ -118,13 +118,16 @@ def _segments(template: Template, turns: str) -> Column:
 
 
 def _machine(template: Template, turns: str) -> Column:
-    """struct(state, first_error): the state after all turns, the position of the first turn without a step."""
+    """struct(state, first_error): the state after all turns, the position of the first turn without a step.
+
+    The error state has an empty name, and no step leads out of it.
+    """
     steps = ", ".join(f"{sql_text(f'{state} {role}')}, {sql_text(to)}" for (state, role), to in template.steps.items())
     following = f"element_at(map({steps}), concat(s.state, ' ', t.role))"
     return F.expr(f"""aggregate({turns},
         named_struct('state', {sql_text(template.start)}, 'at', 0, 'first_error', cast(null AS int)),
         (s, t) -> named_struct(
-            'state', CASE WHEN s.first_error IS NULL THEN {following} END,
+            'state', coalesce({following}, ''),
             'at', s.at + 1,
             'first_error', coalesce(s.first_error, CASE WHEN {following} IS NULL THEN s.at END)))""")
 

@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from patchloom.llm.shared import broadcast_object, received
 
@@ -242,7 +243,7 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, data[at:]]).decode("utf-8")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _without_spans(texts: pd.Series, found: pd.DataFrame) -> pd.Series:
     pairs = ([(x["start"], x["end"]) for x in spans] for spans in found["spans"])
     return pd.Series([without_spans(text, spans) for text, spans in zip(texts, pairs)])

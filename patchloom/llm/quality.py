@@ -35,7 +35,7 @@ BLOCK = 128  # chunks start at every second block
 WIDTH = 6
 FILTERS = 16
 HIDDEN = 16
-EPOCHS = 12
+STEPS = 600
 BATCH = 64
 RATE = 0.01
 THRESHOLD = 0.3
@@ -106,13 +106,13 @@ class Network:
         }
 
     def fit(self, chunks: np.ndarray, filled: np.ndarray, labels: np.ndarray, seed: int = 0) -> Network:
-        """Adam over shuffled batches."""
+        """``STEPS`` steps of Adam over shuffled batches."""
         random, step = np.random.default_rng(seed), 0
         first = {k: np.zeros_like(v) for k, v in self.weights.items()}
         second = {k: np.zeros_like(v) for k, v in self.weights.items()}
-        for _ in range(EPOCHS):
+        while step < STEPS:
             order = random.permutation(len(chunks))
-            for at in range(0, len(order), BATCH):
+            for at in range(0, len(order), BATCH)[: STEPS - step]:
                 own = order[at : at + BATCH]
                 step += 1
                 for k, g in self.gradients(chunks[own], filled[own], labels[own]).items():

@@ -29,6 +29,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from patchloom.llm.shared import LOWER, cut, saved
 
@@ -55,7 +56,7 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * bits > len(hashes)).tobytes(), "big")
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def _fingerprints(texts: pd.Series) -> pd.Series:
     values = np.array([fingerprint(x) for x in texts], dtype=np.uint64)
     return pd.Series(values.view(np.int64))

@@ -101,8 +101,9 @@ def _features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for number, toxic, text in zip(frame["number"], frame["toxic"], frame["text"]):
             counts = features_of(text)
-            names = [x.decode("latin-1") for x in counts]
-            yield pd.DataFrame({"number": number, "toxic": toxic, "feature": names, "n": list(counts.values())})
+            if counts:
+                names = np.array([x.decode("latin-1") for x in counts], object)
+                yield pd.DataFrame({"number": number, "toxic": toxic, "feature": names, "n": list(counts.values())})
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[dict[str, float], list[float]] | None:
