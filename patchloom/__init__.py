@@ -30,6 +30,7 @@ from patchloom.sources.patch_files import (
     read_patch_sections,
     write_parts,
     write_rendered,
+    write_reports,
 )
 
 __all__ = [
@@ -68,4 +69,5 @@ __all__ = [
     "top_purposes",
     "write_parts",
     "write_rendered",
+    "write_reports",
 ]

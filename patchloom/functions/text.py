@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 ANY_BLANK = r"\s\x0b\x1c-\x1f\x85\p{Z}"
 
 
+# The same blanks, spelled out.
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip_sql(text: str) -> str:
-    pattern = rf"^[{ANY_BLANK}]+|[{ANY_BLANK}]+\z"
-    return f"regexp_replace({text}, {sql_text(pattern)}, '')"
+    return f"btrim({text}, {sql_text(BLANKS)})"
 
 
 def strip(text: Column) -> Column:
-    """Trim blanks of any script from both ends."""
-    return F.regexp_replace(text, rf"^[{ANY_BLANK}]+|[{ANY_BLANK}]+\z", "")
+    """Trim blanks of any script from both ends, in one look at each end."""
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def is_blank(text: Column) -> Column:
@@ -51,7 +57,3 @@ def json_string_sql(text: str) -> str:
     return (
         f"coalesce(concat('\"', CASE WHEN {text} RLIKE {controls} THEN {coded} ELSE {plain} END, '\"'), 'null')"
     )
-
-
-def json_string(text: str) -> Column:
-    return F.expr(json_string_sql(text))

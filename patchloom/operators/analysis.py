@@ -34,7 +34,7 @@ def _by_kind(table: dict[str, str | int], otherwise: str = "NULL") -> str:
 
 
 def _has(change_type: str) -> str:
-    return f"array_contains(change_types, '{change_type}')"
+    return f"exists(change_types, t -> contains(t, '{change_type}'))"
 
 
 def _words(text: str, table: dict[str, list[str]]) -> list[str]:

@@ -24,7 +24,6 @@ ELEMENTS = (
     "array<struct<change_type:string,element_name:string,description:string,"
     "before:string,after:string>>"
 )
-KEPT_IN_ONE_LIST = 64  # modified names looked up in one list; more are bucketed
 
 
 def _group(line: Column, pattern: str, index: int) -> Column:
@@ -123,19 +122,18 @@ def _both_sides(patterns: Patterns) -> Column:
 
 
 def _key(element: str, name: str) -> str:
-    return f"concat_ws(' ', {element}.element_type, {element}.{name})"
+    return f"named_struct('element_type', {element}.element_type, 'name', {element}.{name})"
 
 
 def _not_modified(found: str) -> str:
     """SQL dropping the elements whose type and name are among the modified ones.
 
-    A file may change very many names.  Beyond a short list the names are
-    spread over about sqrt(n) buckets, so a lookup reads one bucket only.
+    A file may change very many names, so they are spread over about sqrt(n)
+    buckets, and a lookup reads one bucket only.
     """
     key = _key("e", "name")
     bucket = f"try_element_at(modified_buckets, pmod(hash({key}), size(modified_buckets)) + 1)"
-    names = f"CASE WHEN size(modified_buckets) = 0 THEN modified_keys ELSE {bucket} END"
-    kept = f"filter({found}, e -> NOT array_contains({names}, {key}))"
+    kept = f"filter({found}, e -> NOT array_contains({bucket}, {key}))"
     return f"CASE WHEN size(modified_keys) = 0 THEN {found} ELSE {kept} END"
 
 
@@ -169,10 +167,8 @@ def structural_changes(
     bucketed = keyed.withColumn(
         "modified_buckets",
         F.expr(
-            f"CASE WHEN size(modified_keys) > {KEPT_IN_ONE_LIST} THEN"
-            f" transform(sequence(0, {n_buckets} - 1), b ->"
-            f" filter(modified_keys, k -> pmod(hash(k), {n_buckets}) = b))"
-            " ELSE cast(array() AS array<array<string>>) END"
+            f"CASE WHEN size(modified_keys) > 0 THEN transform(sequence(0, {n_buckets} - 1), b ->"
+            f" filter(modified_keys, k -> pmod(hash(k), {n_buckets}) = b)) END"
         ),
     )
 
@@ -193,8 +189,8 @@ def structural_changes(
     )
     modified = entries(
         "modified_keys",
-        "substring_index(e, ' ', 1)",
-        "substr(e, instr(e, ' ') + 1)",
+        "e.element_type",
+        "e.name",
         "modified",
         nothing,
         nothing,

@@ -20,7 +20,11 @@ DIFF_ID = ("diff_id",)
 FILE_HEADER = r"^diff --git a/([^\n]*?) b/([^\n]*)"
 HUNK_HEADER = r"^@@ -([0-9]+)(?:,([0-9]+))? \+([0-9]+)(?:,([0-9]+))? @@([^\n]*)"
 FILE_MARK = "diff --git"
-REST = 1 << 30  # slice length that always reaches the end
+
+
+def from_place(parts: Column, first: Column) -> Column:
+    """The elements of an array from the 1-based place ``first`` on."""
+    return F.filter(parts, lambda part, i: i + 1 >= first)
 
 
 def fixed_columns(df: DataFrame, keep: Sequence[str], **columns: Column) -> DataFrame:
@@ -58,7 +62,7 @@ def file_sections(
     """
     text = F.col(text_col)
     first_file = F.when(text.startswith(FILE_MARK), 1).otherwise(2)
-    sections = F.slice(F.split(text, r"\n(?=diff --git)"), first_file, F.lit(REST))
+    sections = from_place(F.split(text, r"\n(?=diff --git)"), first_file)
     rows = (
         diffs.select(*keys, F.posexplode_outer(sections).alias("file_pos", "section"))
         if keep_empty
@@ -73,7 +77,7 @@ def _last(pattern: str, text: Column) -> Column:
 
 
 def _valid_hunks(parts: Column) -> Column:
-    return F.filter(F.slice(parts, F.lit(2), F.lit(REST)), lambda p: p.rlike(HUNK_HEADER))
+    return F.filter(from_place(parts, F.lit(2)), lambda p: p.rlike(HUNK_HEADER))
 
 
 def files_from_sections(sections: DataFrame, keys: Sequence[str] = DIFF_ID) -> DataFrame:
@@ -138,7 +142,7 @@ def parse_files(
 
 
 def _hunk_rows(texts: DataFrame, keys: Sequence[str], first_hunk: Column, text_col: str) -> DataFrame:
-    parts = F.slice(F.split(F.col(text_col), r"\n(?=@@)"), first_hunk, F.lit(REST))
+    parts = from_place(F.split(F.col(text_col), r"\n(?=@@)"), first_hunk)
     valid = F.filter(parts, lambda p: p.rlike(HUNK_HEADER))
     hunk = F.col("hunk")
     rows = explode_rows(texts, keys, valid, "hunk_pos", "hunk")
@@ -179,7 +183,7 @@ def _lines_of(hunks: DataFrame, keys: Sequence[str]) -> DataFrame:
     one.  A line's number is its rank among the lines of its side, so each side
     is filtered and numbered by position: linear work, and no window.
     """
-    lines = F.slice(F.split("hunk", "\n"), F.lit(2), F.lit(REST))
+    lines = from_place(F.split("hunk", "\n"), F.lit(2))
     prefix = lambda line: F.left(line, F.lit(1))
     typed = hunks.withColumn(
         "typed",
@@ -190,7 +194,7 @@ def _lines_of(hunks: DataFrame, keys: Sequence[str]) -> DataFrame:
                 F.when(prefix(line).isin("+", "-"), prefix(line))
                 .otherwise(F.lit(" "))
                 .alias("line_type"),
-                F.when(prefix(line).isin("+", "-", " "), F.substring(line, 2, REST))
+                F.when(prefix(line).isin("+", "-", " "), F.substr(line, F.lit(2)))
                 .otherwise(line)
                 .alias("content"),
             ),
@@ -225,7 +229,7 @@ def parse_lines(
 def extract_hunks(
     fragments: DataFrame, keys: Sequence[str] = ("fragment_id",), text_col: str = "text"
 ) -> DataFrame:
-    """Hunks of text that has no file header, with the hunk's lines as an array.
+    """Hunks of text that has no file header.
 
     A ``diff --git`` line ends the hunk before it; what follows up to the next
     ``@@`` belongs to no hunk.

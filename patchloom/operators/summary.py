@@ -412,8 +412,12 @@ def summarize(
             .agg(F.array_sort(F.collect_list(F.struct("rank", "purpose"))).alias("ranked"))
         )
         none = F.array().cast(STRINGS)
-        rolled = rolled.join(top, list(keys), "left").withColumn(
-            "top", F.coalesce(F.transform("ranked", lambda x: x["purpose"]), none)
+        top = top.select("ranked", F.struct(*keys).alias("ranked_keys"))
+        # a null key is a change set like any other
+        rolled = (
+            rolled.join(top, F.struct(*keys).eqNullSafe(F.col("ranked_keys")), "left")
+            .withColumn("top", F.coalesce(F.transform("ranked", lambda x: x["purpose"]), none))
+            .drop("ranked_keys")
         )
     return _report(rolled, keys, with_files)
 

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 
 from patchloom.operators.analysis import analyze_files
+from patchloom.operators.elements import Patterns
 from patchloom.operators.parse import DIFF_ID, parse_files
 from patchloom.operators.render import render
 from patchloom.operators.summary import statistics, summarize
@@ -17,9 +18,14 @@ def diff_statistics(diffs: DataFrame, keys: Sequence[str] = DIFF_ID) -> DataFram
     return statistics(parse_files(diffs, keys, keep_empty=True), keys)
 
 
-def analyze_diffs(diffs: DataFrame, keys: Sequence[str] = DIFF_ID, compat: bool = False) -> DataFrame:
-    """One analysed row per changed file; map-only."""
-    return analyze_files(parse_files(diffs, keys), keys, compat)
+def analyze_diffs(
+    diffs: DataFrame,
+    keys: Sequence[str] = DIFF_ID,
+    compat: bool = False,
+    patterns: Patterns | None = None,
+) -> DataFrame:
+    """One analysed row per changed file; map-only.  ``patterns`` replace the built-in ones."""
+    return analyze_files(parse_files(diffs, keys), keys, compat, patterns=patterns)
 
 
 def summarize_diffs(
@@ -27,10 +33,11 @@ def summarize_diffs(
     keys: Sequence[str] = DIFF_ID,
     compat: bool = False,
     with_files: bool = True,
+    patterns: Patterns | None = None,
 ) -> DataFrame:
     """One summary row per diff, also for diffs that hold no file."""
     files = parse_files(diffs, keys, keep_empty=True)
-    analysis = analyze_files(files, keys, compat, keep_empty=True)
+    analysis = analyze_files(files, keys, compat, keep_empty=True, patterns=patterns)
     return summarize(analysis, keys, known_purposes=True, with_files=with_files)
 
 
@@ -42,7 +49,8 @@ def render_diffs(
     templates: Mapping[str, str] | None = None,
     keys: Sequence[str] = DIFF_ID,
     compat: bool = False,
+    patterns: Patterns | None = None,
 ) -> DataFrame:
     """The rendered report of every diff."""
-    summaries = summarize_diffs(diffs, keys, compat)
+    summaries = summarize_diffs(diffs, keys, compat, patterns=patterns)
     return render(summaries, format_name, template, template_name, templates, keys)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from patchloom.operators.parse import DIFF_ID, FILE_MARK
 
 PATH = ("path",)
-MAX_TEXTS_PER_FILE = 100_000  # bounds single output files
 
 
 def decoded(content: Column) -> Column:
@@ -69,8 +68,13 @@ def read_patch_sections(spark: SparkSession, path: str | Sequence[str], glob: st
         (F.sum("n").over(before) - F.col("n")).alias("skipped"),
         F.first("first_is_file").over(before).alias("starts_with_file"),
     )
-    placed = rows.join(layout, ["path", "block"]).withColumn(
-        "place", F.col("skipped") + F.col("row_id") - F.col("first_id")
+    # The layout comes from a scan of its own; a row without one means that the
+    # files or their blocks have changed since, which must not pass in silence.
+    known = F.when(F.col("first_id").isNotNull(), F.col("first_id")).otherwise(
+        F.raise_error(F.concat(F.lit("blocks changed between two scans of "), "path")).cast("bigint")
+    )
+    placed = rows.join(layout, ["path", "block"], "left").withColumn(
+        "place", F.col("skipped") + F.col("row_id") - known
     )
     text = F.when(F.col("valid"), F.col("value")).otherwise(
         F.decode(F.col("value").cast("binary"), "ISO-8859-1")
@@ -89,11 +93,18 @@ def read_patch_sections(spark: SparkSession, path: str | Sequence[str], glob: st
 def write_rendered(rendered: DataFrame, path: str, by: Sequence[str] = ()) -> None:
     """Rendered texts as UTF-8 text files, replacing what was there.
 
-    ``by`` puts each value of those columns into a folder of its own.
+    ``by`` puts each value of those columns, which should be few, into a folder
+    of its own.  Which text belongs to which change set is not kept; use
+    ``write_reports`` for that.
     """
-    rendered.select(*by, "rendered").write.mode("overwrite").option(
-        "maxRecordsPerFile", MAX_TEXTS_PER_FILE
-    ).partitionBy(*by).text(path)
+    rendered.select(*by, "rendered").write.mode("overwrite").partitionBy(*by).text(path)
+
+
+def write_reports(
+    rendered: DataFrame, path: str, keys: Sequence[str] = DIFF_ID, format_name: str = "parquet"
+) -> None:
+    """One row (keys, rendered) per change set, as Parquet or JSON, replacing what was there."""
+    rendered.select(*keys, "rendered").write.mode("overwrite").format(format_name).save(path)
 
 
 def write_parts(parts: DataFrame, path: str, keys: Sequence[str] = DIFF_ID) -> None:
