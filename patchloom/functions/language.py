@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,8 +16,11 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
     return F.element_at(F.expr(f"map({pairs})"), key)
 
 
-def detect_language(filename: Column) -> Column:
-    """Special names first, then the text after the last dot, else ``unknown``."""
+def detect_language(filename: Column, extensions: Mapping[str, str] | None = None) -> Column:
+    """Special names first, then the text after the last dot, else ``unknown``.
+
+    ``extensions`` (``{".ext": "language"}``, lower case) add to the built-in ones.
+    """
     lowered = F.lower(filename)
     by_name = F.when(
         lowered.startswith(fixed.README_PREFIX), F.lit(fixed.README_LANGUAGE)
@@ -23,7 +28,7 @@ def detect_language(filename: Column) -> Column:
     by_extension = F.when(
         F.contains(filename, F.lit(".")),
         _lookup(
-            fixed.LANGUAGE_BY_EXTENSION,
+            fixed.LANGUAGE_BY_EXTENSION | dict(extensions or {}),
             F.concat(F.lit("."), F.lower(F.substring_index(filename, ".", -1))),
         ),
     )

@@ -6,7 +6,7 @@ analysis of a whole history is one scan without an exchange.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -127,6 +127,7 @@ def analyze_files(
     compat: bool = False,
     patterns: Patterns | None = None,
     keep_empty: bool = False,
+    extensions: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Language, elements, purpose, impact and score of each changed file.
 
@@ -139,7 +140,7 @@ def analyze_files(
     if not keep_empty:
         named = files.where(F.col("filename") != "")
     found = structural_changes(
-        named.withColumn("language", detect_language(F.col("filename"))),
+        named.withColumn("language", detect_language(F.col("filename"), extensions)),
         **({"patterns": patterns} if patterns else {}),
     )
     carried = [

@@ -23,9 +23,13 @@ def analyze_diffs(
     keys: Sequence[str] = DIFF_ID,
     compat: bool = False,
     patterns: Patterns | None = None,
+    extensions: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """One analysed row per changed file; map-only.  ``patterns`` replace the built-in ones."""
-    return analyze_files(parse_files(diffs, keys), keys, compat, patterns=patterns)
+    """One analysed row per changed file; map-only.
+
+    ``patterns`` replace the built-in ones, ``extensions`` add to the built-in ones.
+    """
+    return analyze_files(parse_files(diffs, keys), keys, compat, patterns=patterns, extensions=extensions)
 
 
 def summarize_diffs(
@@ -34,10 +38,13 @@ def summarize_diffs(
     compat: bool = False,
     with_files: bool = True,
     patterns: Patterns | None = None,
+    extensions: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """One summary row per diff, also for diffs that hold no file."""
     files = parse_files(diffs, keys, keep_empty=True)
-    analysis = analyze_files(files, keys, compat, keep_empty=True, patterns=patterns)
+    analysis = analyze_files(
+        files, keys, compat, keep_empty=True, patterns=patterns, extensions=extensions
+    )
     return summarize(analysis, keys, known_purposes=True, with_files=with_files)
 
 
@@ -50,7 +57,8 @@ def render_diffs(
     keys: Sequence[str] = DIFF_ID,
     compat: bool = False,
     patterns: Patterns | None = None,
+    extensions: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """The rendered report of every diff."""
-    summaries = summarize_diffs(diffs, keys, compat, patterns=patterns)
+    summaries = summarize_diffs(diffs, keys, compat, patterns=patterns, extensions=extensions)
     return render(summaries, format_name, template, template_name, templates, keys)

@@ -8,11 +8,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from patchloom import fixed_values as fixed
 from patchloom.functions.language import detect_language
 from patchloom.functions.text import is_blank, lines_text, looks_like_diff
 from patchloom.operators import analysis, elements, parse, render, summary
 from patchloom.plans import reports
-from patchloom.sources.patch_files import PATH, read_patch_files, read_patch_sections, write_rendered
+from patchloom.sources.patch_files import (
+    PATH,
+    read_patch_files,
+    read_patch_sections,
+    write_rendered,
+    write_reports,
+)
 from workload import oracle
 from workload.corpus import diffs
 
@@ -25,6 +32,19 @@ TEMPLATE = (
 NAMED_TEMPLATES = {"short": "{overview} [{total_files}]", "notes": "{key_changes}\n--\n{recommendations}"}
 
 
+OWN_EXTENSIONS = {".xyz": "notes", ".txt": "notes"}
+OWN_PATTERNS = {"notes": {"asyncfunction": r"^\s*value\s*=\s*(\w+)", "dataclass": r"^\s*#\s*(\w+)\s+note"}}
+# Change set ids per patch file.
+BUNDLE = 200
+# Analysed rows that lack a value, as other sources of such rows may leave them.
+BLANKED = {
+    "lines_added": "diff_id % 3 = 0 AND file_seq % 5 = 3",
+    "complexity_score": "diff_id % 7 = 1",
+    "impact_assessment": "diff_id % 11 = 2 AND file_seq = 1",
+    "purpose_inference": "diff_id % 3 = 1 AND file_seq % 4 = 2",
+}
+
+
 def _joined(*names: str) -> list[Column]:
     return [F.array_join(name, "\n").alias(name) for name in names]
 
@@ -199,24 +219,63 @@ def _scratch(spark: SparkSession) -> str:
 
 
 def _patch_folder(spark: SparkSession, sf_dir: str) -> str:
-    """All file sections written as patch files by the text sink."""
-    sections = parse.file_sections(diffs(spark, sf_dir)).select(F.col("section").alias("rendered"))
+    """File sections written as patch files by the text sink: one per ``BUNDLE`` change set ids, in order."""
+    sections = parse.file_sections(diffs(spark, sf_dir))
+    sections = sections.withColumn("bundle", F.expr(f"diff_id div {BUNDLE}"))
+    placed = sections.repartition("bundle").sortWithinPartitions("bundle", "diff_id", "file_seq")
     folder = _scratch(spark) + "/patches"
-    write_rendered(sections, folder)
+    write_rendered(placed.withColumnRenamed("section", "rendered"), folder, by=["bundle"])
     return folder
 
 
 FILE_COLUMNS = ["filename", "change_type", "old_filename", "lines_added", "lines_removed"]
 
 
+def _from_bundles(files: DataFrame) -> DataFrame:
+    bundle = F.regexp_extract("path", "bundle=([0-9]+)", 1).cast("bigint").alias("bundle")
+    return files.select(bundle, "file_seq", *FILE_COLUMNS)
+
+
 def _patch_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     patches = read_patch_files(spark, _patch_folder(spark, sf_dir))
-    return parse.parse_files(patches, PATH).select(*FILE_COLUMNS)
+    return _from_bundles(parse.parse_files(patches, PATH))
 
 
 def _patch_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     sections = read_patch_sections(spark, _patch_folder(spark, sf_dir))
-    return parse.files_from_sections(sections, PATH).select(*FILE_COLUMNS)
+    return _from_bundles(parse.files_from_sections(sections, PATH))
+
+
+def _stored_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports written with their keys and read back."""
+    folder = _scratch(spark) + "/reports"
+    write_reports(reports.render_diffs(diffs(spark, sf_dir), "plain"), folder)
+    return spark.read.schema("diff_id bigint, rendered string").parquet(folder)
+
+
+def _own_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analysis with a language, extensions and patterns of the caller's own."""
+    patterns = fixed.ELEMENT_PATTERNS | OWN_PATTERNS
+    rows = reports.analyze_diffs(diffs(spark, sf_dir), patterns=patterns, extensions=OWN_EXTENSIONS)
+    score = F.col("complexity_score").cast("bigint").alias("complexity_score")
+    return rows.select("diff_id", "file_seq", "language", "purpose_inference", "impact_assessment", score)
+
+
+def _blanked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reports.analyze_diffs(diffs(spark, sf_dir)).drop("purposes", "impacts", "status")
+    emptied = {name: F.expr(f"CASE WHEN NOT ({condition}) THEN {name} END") for name, condition in BLANKED.items()}
+    return rows.withColumns(emptied)
+
+
+def _fallback_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = summary.summarize(_blanked(spark, sf_dir))
+    block = render.template_file_block().alias("file_summaries")
+    return rows.select("diff_id", "overview", "statistics.*", *_joined("key_changes", "recommendations"), block)
+
+
+def _fallback_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = summary.file_summaries(_blanked(spark, sf_dir))
+    return rows.select("diff_id", "file_seq", "filename", "summary", *_joined("key_changes"))
 
 
 def queries() -> dict[str, Query]:
@@ -262,6 +321,10 @@ def queries() -> dict[str, Query]:
         "template_file_block": _file_blocks,
         "patch_files": _patch_files,
         "patch_sections": _patch_sections,
+        "stored_reports": _stored_reports,
+        "own_language": _own_language,
+        "fallback_summaries": _fallback_summaries,
+        "fallback_files": _fallback_files,
     }
 
 
@@ -377,6 +440,37 @@ def _summaries_sql(compat: bool = False) -> str:
     )
 
 
+def _bundles_sql() -> str:
+    columns = ", ".join(FILE_COLUMNS)
+    return oracle.through("parse") + (
+        f"SELECT diff_id // {BUNDLE} AS bundle, row_number() OVER (PARTITION BY diff_id // {BUNDLE}"
+        f" ORDER BY diff_id, file_seq)::BIGINT AS file_seq, {columns} FROM files"
+    )
+
+
+def _blanked_sql(select: str) -> str:
+    emptied = ", ".join(f"CASE WHEN NOT ({condition}) THEN {name} END AS {name}" for name, condition in BLANKED.items())
+    missing = " OR ".join(f"{name} IS NULL" for name in ("lines_added", "lines_removed", "complexity_score", "impact_assessment"))
+    first_of = lambda text: f"coalesce(min(file_seq) FILTER (contains(lower(purpose_inference), '{text}')), 1e18)"
+    return oracle.through("summary", blanked=emptied) + f""", spoiled AS (
+  SELECT diff_id, bool_or({missing}) OR coalesce(min(file_seq) FILTER (purpose_inference IS NULL)
+      < greatest({first_of("documentation")}, {first_of("feature addition")}), false) AS failed
+  FROM analysis GROUP BY diff_id
+), unfit AS (SELECT diff_id, file_seq, {missing} AS failed FROM analysis)
+{select}"""
+
+
+def _fallback_sql() -> str:
+    counters = ", ".join(f"CASE WHEN failed THEN 0 ELSE {name} END AS {name}" for name in _COUNTERS.split(", "))
+    return _blanked_sql(
+        f"""SELECT diff_id, CASE WHEN failed THEN {oracle.q(fixed.ROLLUP_FAILED)} ELSE overview END AS overview, {counters},
+          CASE WHEN failed THEN '' ELSE array_to_string(key_changes, {_NL}) END AS key_changes,
+          CASE WHEN failed THEN {oracle.q(fixed.ROLLUP_FAILED_ADVICE)} ELSE array_to_string(recommendations, {_NL}) END AS recommendations,
+          CASE WHEN failed THEN 'No file changes' ELSE {oracle.file_block()} END AS file_summaries
+        FROM summaries JOIN spoiled USING (diff_id)"""
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     parse_sql = lambda select: oracle.through("parse") + select
     listed = f"array_to_string(key_changes, {_NL}) AS key_changes"
@@ -453,6 +547,16 @@ def oracle_sql() -> dict[str, str]:
         ),
         "render_parts": _parts_sql(),
         "template_file_block": _summary_sql(f"SELECT diff_id, {oracle.file_block()} AS file_summaries FROM summaries"),
-        "patch_files": parse_sql(f"SELECT {', '.join(FILE_COLUMNS)} FROM files"),
-        "patch_sections": parse_sql(f"SELECT {', '.join(FILE_COLUMNS)} FROM files"),
+        "patch_files": _bundles_sql(),
+        "patch_sections": _bundles_sql(),
+        "stored_reports": _summary_sql(f"SELECT diff_id, {oracle.plain()} AS rendered FROM summaries"),
+        "own_language": oracle.through("analysis", languages=OWN_EXTENSIONS, patterns=OWN_PATTERNS)
+        + "SELECT diff_id, file_seq, language, purpose_inference, impact_assessment, complexity_score FROM analysis",
+        "fallback_summaries": _fallback_sql(),
+        "fallback_files": _blanked_sql(
+            f"""SELECT diff_id, file_seq, filename,
+              CASE WHEN failed THEN {oracle.q(fixed.FILE_SUMMARY_FAILED)} || filename ELSE summary END AS summary,
+              CASE WHEN failed THEN '' ELSE array_to_string(key_changes, {_NL}) END AS key_changes
+            FROM file_summaries JOIN unfit USING (diff_id, file_seq)"""
+        ),
     }

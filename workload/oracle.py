@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from patchloom import fixed_values as fixed
 from patchloom.functions.regex import group_count, spark_pattern
-from workload.corpus import CODE_LINES, EXTENSIONS, NAMELESS_IMPORTS
+from workload.corpus import CODE_LINES, EXTENSIONS, MORE_EXTENSIONS, NAMELESS_IMPORTS, REPEATS, WHOLE_NAMES
 
 NL = "chr(10)"
 BLANK = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
@@ -30,8 +30,12 @@ def _has(text: str, words: list[str]) -> str:
 
 
 def _code_text(template: str) -> str:
-    quoted = q(template).replace("{", "' || chr(123) || '").replace("\t", "' || chr(9) || '")
-    return f"replace({quoted}, '<d>', d::VARCHAR)"
+    return "(" + q(template).replace("{", "' || chr(123) || '").replace("\t", "' || chr(9) || '") + ")"
+
+
+def _nth(values: list, number: str) -> str:
+    listed = ", ".join(q(v) if isinstance(v, str) else str(v) for v in values)
+    return f"list_extract([{listed}], ({number} % {len(values)} + 1)::INT)"
 
 
 def _code_list(ext: str) -> str:
@@ -43,20 +47,28 @@ def _code_list(ext: str) -> str:
 
 
 def _corpus() -> str:
-    extensions = ", ".join(q(e) for e in EXTENSIONS)
     cases = " ".join(f"WHEN {q(e)} THEN {_code_list(e)}" for e in CODE_LINES if e != "other")
     with_mark = lambda mark, listed="code": f"list_transform({listed}, lambda c: '{mark}' || c)"
     return f"""
 docs AS (
   SELECT doc_id AS d, source, string_split(text, {NL}) AS lines,
-         list_extract([{extensions}], (doc_id % 10 + 1)::INT) AS ext,
+         CASE WHEN doc_id % 100 < 40 THEN doc_id // 100 * 100 WHEN doc_id % 100 < 88 THEN doc_id // 4 * 4 ELSE doc_id END AS diff_id,
+         CASE WHEN doc_id % 10 = 9 THEN {_nth(MORE_EXTENSIONS, "(doc_id // 10)")} ELSE {_nth(EXTENSIONS, "(doc_id % 10)")} END AS ext,
+         CASE WHEN doc_id % 23 = 5 THEN {_nth(REPEATS, "(doc_id // 23)")} ELSE 1 END AS n_code,
          CASE doc_id % 7 WHEN 0 THEN 'added' WHEN 1 THEN 'deleted' WHEN 2 THEN 'renamed' ELSE 'modified' END AS kind
   FROM documents
 ), named AS (
-  SELECT *, CASE WHEN d % 20 = 6 THEN 'README.md'
+  SELECT *, CASE WHEN d % 20 = 6 THEN 'README.md' WHEN d % 40 = 18 THEN {_nth(WHOLE_NAMES, "(d // 40)")}
                  ELSE 'src/' || source || '/' || CASE WHEN d % 9 = 0 THEN 'test_f' ELSE 'f' END || d || '.' || ext END AS path,
-         CASE ext {cases} ELSE {_code_list("other")} END AS code
+         CASE ext {cases} ELSE {_code_list("other")} END AS templates
   FROM docs
+), numbered_code AS (
+  SELECT d, nr, unnest(templates) AS line, generate_subscripts(templates, 1) AS pos
+  FROM (SELECT d, templates, unnest(range(n_code)) AS nr FROM named)
+), coded AS (
+  SELECT n.*, c.code FROM named n JOIN (
+    SELECT d, list(replace(line, '<d>', CASE nr WHEN 0 THEN d::VARCHAR ELSE d || '_' || nr END) ORDER BY nr, pos) AS code
+    FROM numbered_code GROUP BY d) c USING (d)
 ), bodies AS (
   SELECT *, CASE WHEN kind = 'renamed' THEN 'old/f' || d || '.' || ext ELSE path END AS old_path,
     CASE
@@ -70,9 +82,9 @@ docs AS (
              ELSE '@@ -' || (99 + i) || ' +' || (199 + i) || ',7 @@ def ctx_' || (i - 1) || ' ' || {NL} END ELSE '' END ||
       CASE WHEN kind = 'added' THEN '+' WHEN kind = 'deleted' THEN '-'
            ELSE list_extract(['+', '-', ' ', '+', '', ' '], ((i - 1 + d) % 6 + 1)::INT) END || x) AS text_body
-  FROM named
+  FROM coded
 ), sections AS (
-  SELECT d,
+  SELECT d, diff_id,
     CASE WHEN d % 13 = 3 THEN 'diff --git ' || path
          WHEN d % 29 = 7 THEN 'diff --git a/ b/'
          ELSE 'diff --git a/' || old_path || ' b/' || path END || {NL} ||
@@ -81,13 +93,14 @@ docs AS (
     'index 1111111..2222222 100644' || {NL} || '--- a/' || path || {NL} || '+++ b/' || path || {NL} ||
     '@@ -1,' || len(lines) || ' +1,' || len(lines) || ' @@ ctx' || {NL} ||
     array_to_string(code_body, {NL}) || {NL} || array_to_string(text_body, {NL}) ||
+    CASE WHEN d % 17 = 9 THEN {NL} || 'deleted file mode 100644' || {NL} || 'rename to elsewhere' ELSE '' END ||
     CASE WHEN d % 8 = 2 THEN {NL} || chr(92) || ' No newline at end of file' ELSE '' END AS section
   FROM bodies
 ), diffs AS MATERIALIZED (
-  SELECT d // 4 AS diff_id,
-    CASE WHEN (d // 4) % 6 = 1 THEN 'Subject: change' || {NL} || '@@ -1 +1 @@ stray' || {NL} || '+stray' || {NL} ELSE '' END ||
-    string_agg(section, {NL} ORDER BY d) || CASE WHEN (d // 4) % 5 = 0 THEN {NL} ELSE '' END AS diff_text
-  FROM sections GROUP BY d // 4
+  SELECT diff_id,
+    CASE WHEN diff_id % 6 = 4 THEN 'Subject: change' || {NL} || '@@ -1 +1 @@ stray' || {NL} || '+stray' || {NL} ELSE '' END ||
+    string_agg(section, {NL} ORDER BY d) || CASE WHEN diff_id % 5 = 0 THEN {NL} ELSE '' END AS diff_text
+  FROM sections GROUP BY diff_id
   UNION ALL
   SELECT 1000000000 + doc_id,
     CASE doc_id % 150 WHEN 0 THEN '' WHEN 50 THEN ' ' || {NL} || chr(9) || {NL}
@@ -159,16 +172,18 @@ in_file AS (
 )"""
 
 
-def _language() -> str:
+def _language(more: dict[str, str]) -> str:
     names = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in fixed.LANGUAGE_BY_NAME.items())
-    extensions = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in fixed.LANGUAGE_BY_EXTENSION.items())
+    extensions = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in (fixed.LANGUAGE_BY_EXTENSION | more).items())
     return f"""CASE WHEN starts_with(lower(filename), 'readme') THEN 'markdown'
       ELSE coalesce(CASE lower(filename) {names} END,
         CASE WHEN contains(filename, '.') THEN CASE '.' || lower(string_split(filename, '.')[-1]) {extensions} END END, 'unknown') END"""
 
 
-LANGUAGES = f"""
-tagged AS MATERIALIZED (SELECT *, {_language()} AS language FROM files)"""
+def _languages(more: dict[str, str]) -> str:
+    return f"""
+tagged AS MATERIALIZED (SELECT *, {_language(more)} AS language FROM files)"""
+
 
 _VARIABLE_HEAD = spark_pattern(r"^\s*(?:const|let|var)\s+(\w+)\s*=")
 
@@ -192,9 +207,9 @@ def _group(language: str, element_type: str, pattern: str, index: int, column: s
     return f"regexp_extract({column}, {q(text)}, {index})"
 
 
-def _element_union(source: str, column: str, carried: str) -> str:
+def _element_union(source: str, column: str, carried: str, more: dict[str, dict[str, str]]) -> str:
     parts = []
-    for language, by_type in fixed.ELEMENT_PATTERNS.items():
+    for language, by_type in (fixed.ELEMENT_PATTERNS | more).items():
         for order, (element_type, pattern) in enumerate(by_type.items()):
             group = lambda i: _group(language, element_type, pattern, i, column)  # noqa: E731, B023
             groups = ", ".join(f"nullif({group(i)}, '')" for i in range(1, group_count(pattern) + 1))
@@ -209,13 +224,14 @@ def _element_union(source: str, column: str, carried: str) -> str:
     return "\nUNION ALL ".join(parts)
 
 
-ELEMENTS = f"""
+def _found(more: dict[str, dict[str, str]]) -> str:
+    return f"""
 changed AS (
   SELECT t.diff_id, t.file_seq, t.language, l.line_type, l.content AS text,
     row_number() OVER (PARTITION BY t.diff_id, t.file_seq, l.line_type ORDER BY l.hunk_seq, l.line_seq) AS line_ord
   FROM lines l JOIN tagged t USING (diff_id, file_seq) WHERE l.line_type <> ' ' AND t.filename <> ''
 ), found AS MATERIALIZED (
-  {_element_union("changed", "text", "diff_id, file_seq, line_type, line_ord")}
+  {_element_union("changed", "text", "diff_id, file_seq, line_type, line_ord", more)}
 ), modified AS MATERIALIZED (
   SELECT p.diff_id, p.file_seq, p.type_ord, p.element_type, p.own, min(p.line_ord) AS line_ord
   FROM found p JOIN (SELECT DISTINCT diff_id, file_seq, element_type, own FROM found WHERE line_type = '-') m
@@ -262,7 +278,7 @@ def _words(text: str, table: dict[str, list[str]]) -> list[str]:
 
 
 def _analysis(compat: bool) -> str:
-    t = lambda kind: f"list_contains(types, '{kind}')"
+    t = lambda kind: f"(len(list_filter(types, lambda x: contains(x, '{kind}'))) > 0)"
     purposes = ", ".join(
         [
             _case("change_type", fixed.PURPOSE_BY_KIND),
@@ -293,7 +309,7 @@ def _analysis(compat: bool) -> str:
       CASE {suffixes} END"""
     raw = f"""(CASE WHEN changed > 200 THEN 4 WHEN changed > 100 THEN 3 WHEN changed > 50 THEN 2 WHEN changed > 10 THEN 1 ELSE 0 END
       + least(n_elements, 3)
-      + CASE WHEN {" OR ".join(t(k) for k in fixed.SCORE_HEAVY_TYPES)} THEN 2 ELSE 0 END + least(n_modified, 2))"""
+      + CASE WHEN {" OR ".join(f"list_contains(types, '{k}')" for k in fixed.SCORE_HEAVY_TYPES)} THEN 2 ELSE 0 END + least(n_modified, 2))"""
     score = f"""least(10, CASE WHEN language IN ('cpp', 'rust', 'java') THEN {raw} + 1
       WHEN language IN ('json', 'yaml', 'markdown') THEN greatest(0, {raw} - 1) ELSE {raw} END
       + CASE change_type WHEN 'renamed' THEN 1 WHEN 'deleted' THEN 2 ELSE 0 END)"""
@@ -408,14 +424,24 @@ grouped AS (
 )"""
 
 
-def through(step: str, compat: bool = False) -> str:
-    """The WITH clause up to and including a step."""
+def through(
+    step: str,
+    compat: bool = False,
+    languages: dict[str, str] | None = None,
+    patterns: dict[str, dict[str, str]] | None = None,
+    blanked: str = "",
+) -> str:
+    """The WITH clause up to and including a step; ``blanked`` replaces columns of the analysis."""
+    analysis = _analysis(compat)
+    if blanked:
+        analysis = analysis.replace("analysis AS MATERIALIZED", "whole_analysis AS MATERIALIZED")
+        analysis += f", analysis AS MATERIALIZED (SELECT * REPLACE ({blanked}) FROM whole_analysis)"
     steps = {
         "diffs": _corpus(),
         "parse": PARSE,
-        "languages": LANGUAGES,
-        "elements": ELEMENTS + "," + _elements(compat),
-        "analysis": _analysis(compat),
+        "languages": _languages(languages or {}),
+        "elements": _found(patterns or {}) + "," + _elements(compat),
+        "analysis": analysis,
         "summary": SUMMARY,
     }
     names = list(steps)
