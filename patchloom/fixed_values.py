@@ -182,7 +182,6 @@ IMPACT_CLASS = "Class structure changes - may affect inheritance"
 IMPACT_IMPORT = "Dependency changes - may affect build process"
 IMPACT_BY_SUFFIX = [
     ((".py", ".js", ".ts", ".java"), "Core application code - runtime impact"),
-    ((".test.py", ".spec.js", ".test.ts"), "Test code - affects test coverage"),
     ((".json", ".yaml", ".yml", ".xml"), "Configuration changes - may affect deployment"),
     ((".md", ".txt", ".rst"), "Documentation changes - no runtime impact"),
 ]
