@@ -10,8 +10,14 @@ endings follow the title's gender and the script.
 
 Distinct entities keep distinct surrogates: all distinct entities meet in one
 table, and as long as two of a kind share a surrogate, or a surrogate is itself
-an entity of the corpus, those take the hash's next number.  Only such entities
-are joined back to their documents; all other surrogates are made in the row.
+an entity of the corpus, those take the hash's next number.  Every ``WIDER``
+numbers the surrogate grows by one character (a name's words by one syllable),
+so that a kind with more entities than surrogates of its form ends, too.  Only
+such entities are joined back to their documents; all other surrogates are made
+in the row.
+
+Letters that are neither Latin, Cyrillic nor Greek become Latin ones.  A secret
+without any letter or digit gets letters throughout.
 
 Null texts stay null.  Texts without an entity stay as they are.  Rows are
 treated one by one, repeated ones alike; extra columns stay.
@@ -35,6 +41,10 @@ SYLLABLES = {
     "latin": "ba be bi bo da de di do fa fe fi fo ga ge ka ke ki ko la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se si so ta te ti to va ve vi vo za ze".split(),
     "cyrillic": "ба бе би бо да де ди до га ге ка ке ки ко ла ле ли ло ма ме ми мо на не ни но па пе ра ре ри ро са се си со та те ти то ва ве ви во за зе".split(),
 }
+#: Letters by script, in lower case, beside a to z.
+ALPHABETS = {"Cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "Greek": "αβγδεζηθικλμνξοπρστυφχψω"}
+#: A surrogate that is still taken grows after so many tries.
+WIDER = 16
 ENDINGS = {
     ("latin", "male"): "n", ("latin", "female"): "a", ("latin", "any"): "s",
     ("cyrillic", "male"): "ов", ("cyrillic", "female"): "ова", ("cyrillic", "any"): "ко",
@@ -76,13 +86,26 @@ def _number(stream: str, at: str) -> str:
 
 
 def _like(value: str, stream: str, fixed: str = "0") -> str:
-    """SQL: ``value`` with other digits and letters of the same case and script, but for its first ``fixed`` characters."""
+    """SQL: ``value`` with other digits and letters of the same case and script, but for its first ``fixed`` characters.
+
+    Letters of scripts without an alphabet become Latin; where there is no letter or digit, all characters become letters.
+    """
     n = _number("s", "i")
-    return f"""array_join(transform(split({value}, ''), (c, i) -> CASE
+    others = ""
+    for script, letters in ALPHABETS.items():
+        pick = f"substr('{{}}', 1 + {n} % {len(letters)}, 1)"
+        for case, own in (("Lu", letters.upper()), ("L", letters)):
+            others += rf" WHEN c RLIKE '[\\p{{Is{script}}}&&\\p{{{case}}}]' THEN {pick.format(own)}"
+    return rf"""array_join(transform(split({value}, ''), (c, i) -> CASE
         WHEN i < {fixed} THEN c
         WHEN c BETWEEN '0' AND '9' THEN cast({n} % 10 AS string)
         WHEN c BETWEEN 'a' AND 'z' THEN char(97 + {n} % 26)
         WHEN c BETWEEN 'A' AND 'Z' THEN char(65 + {n} % 26)
+        WHEN c >= chr(128) OR {value} NOT RLIKE '[\\p{{L}}\\p{{N}}]' THEN CASE{others}
+            WHEN c RLIKE '\\p{{Lu}}' THEN char(65 + {n} % 26)
+            WHEN c RLIKE '\\p{{N}}' THEN cast({n} % 10 AS string)
+            WHEN c RLIKE '\\p{{L}}' OR {value} NOT RLIKE '[\\p{{L}}\\p{{N}}]' THEN char(97 + {n} % 26)
+            ELSE c END
         ELSE c END), '')""".replace("substr(s,", f"substr({stream},")
 
 
@@ -107,7 +130,7 @@ def _card(value: str, stream: str) -> str:
     return f"CASE WHEN {_luhn(digits)} = 0 THEN concat({front}, cast((10 - {_luhn(short)}) % 10 AS string)) ELSE {made} END"
 
 
-def _name(value: str, stream: str) -> str:
+def _name(value: str, stream: str, nonce: str) -> str:
     """SQL: title kept, each word of the name made of syllables of its script, with an ending of the title's gender."""
 
     def word(script: str) -> str:
@@ -118,7 +141,10 @@ def _name(value: str, stream: str) -> str:
             f"WHEN title IN ({', '.join(map(sql_text, names))}) THEN {sql_text(ENDINGS[script, g])}"
             for g, names in (("male", MALE), ("female", FEMALE))
         )
-        return f"initcap(concat({', '.join(picks)}, CASE {gender} ELSE {sql_text(ENDINGS[script, 'any'])} END))"
+        at = _number(stream, "7 + 17 * e + 5 * j")
+        # array_repeat, as a sequence can't be empty
+        more = f"array_join(transform(array_repeat(0, cast({nonce} div {WIDER} AS int)), (z, e) -> get({pool}, {at} % {len(parts)})), '')"
+        return f"initcap(concat({', '.join(picks)}, {more}, CASE {gender} ELSE {sql_text(ENDINGS[script, 'any'])} END))"
 
     made = rf"CASE WHEN w RLIKE '^[ -]$' THEN w WHEN w RLIKE '\\p{{IsCyrillic}}' THEN {word('cyrillic')} ELSE {word('latin')} END"
     title = f"substring_index({value}, ' ', 1)"
@@ -138,10 +164,19 @@ def surrogate_sql(value: str, kind: str, nonce: str, key: str) -> str:
         "email": f"concat({_like(f'substring_index({value}, {sql_text(chr(46))}, size(split({value}, {sql_text("[.]")})) - 1)', 'h')}, '.', substring_index({value}, '.', -1))",
         "iban": f"concat(substr({value}, 1, 2), {_like(f'substr({value}, 3)', 'h')})",
         "key": f"CASE WHEN {value} RLIKE '^[0-9a-fA-F]+$' THEN {_hex_like(value, 'h')} ELSE {_like(value, 'h', '4')} END",
-        "name": _name(value, "h"),
+        "name": _name(value, "h", nonce),
     }
+    made["ssn"] = made["secret"] = _like(value, "h")
+    # what a surrogate grows by: hexadecimal digits of the hash as digits or as letters
+    digits, letters = "translate(h, 'abcdef', '012345')", "translate(h, '0123456789', 'ghijklmnop')"
+    grown = {k: f"substr({letters}, 1, {nonce} div {WIDER})" for k in ("email", "iban", "secret")}
+    grown |= {k: f"substr({digits}, 1, {nonce} div {WIDER})" for k in ("ip", "ssn", "card", "phone", "key")}
+    grown["iban"] = f"upper({grown['iban']})"
+    for k, more in grown.items():
+        made[k] = f"concat({more}, {made[k]})" if k == "email" else f"concat({made[k]}, {more})"
+    other = made.pop("secret")
     whens = " ".join(f"WHEN '{k}' THEN {v}" for k, v in made.items())
-    return f"""element_at(transform(array(sha2({seed}, 512)), h -> CASE {kind} {whens} ELSE {_like(value, 'h')} END), 1)"""
+    return f"""element_at(transform(array(sha2({seed}, 512)), h -> CASE {kind} {whens} ELSE {other} END), 1)"""
 
 
 def with_entities(docs: DataFrame, text: str, found: str) -> DataFrame:

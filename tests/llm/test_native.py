@@ -155,6 +155,22 @@ def test_surrogates_stay_distinct(spark):
     assert len(set(made)) == len(texts) and not set(made) & set(texts)
 
 
+def test_masked_and_foreign_secrets(spark):
+    texts = ["password: ******** x", "token: пароль x", "token: Κωδικός1 x", "secret=密码密码密码 x", "token: ------- x"]
+    got = rows_by(pii.with_surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")), "doc_id")
+    forms = [r"password: [a-z]{8} x", r"token: [а-я]{6} x", r"token: [Α-Ω][α-ω]{6}\d x", r"secret=[a-z]{6} x", r"token: [a-z]{7} x"]
+    for i, form in enumerate(forms):
+        assert re.fullmatch(form, got[i].text) and got[i].text != texts[i], got[i].text
+
+
+def test_more_entities_than_surrogates(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SYLLABLES", {"latin": ["ba", "be"], "cyrillic": ["ба", "бе"]})
+    texts = [f"password: *****{d}" for d in range(10)] + [f"Mr. Q{chr(97 + i)}" for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    made = [r.text for r in pii.with_surrogates(docs).collect()]
+    assert len(set(made)) == len(texts) and not set(made) & set(texts)
+
+
 def test_surrogates_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string, n_entities int")
     assert pii.with_surrogates(empty).columns == ["doc_id", "text", "n_entities"]
