@@ -109,6 +109,27 @@ def test_base_score_and_held_out_gain(tables):
     assert held["score"].sum() > held["base_score"].sum() and (rows["score"] < 0).all()
 
 
+def test_counts_hold_all_documents_of_any_length(spark):
+    words = [f"w{k % 7} v{k % 11}" for k in range(60)]
+    docs = [(i, " ".join(words)) for i in range(40)] + [(100 + i, " ".join(words[i:] * 100)) for i in range(3)]
+    own = spark.createDataFrame(docs, DOCS).selectExpr("*", "false AS held_out")
+    sample = context_mixing._sample(own, len(docs))
+    # pieces of long texts are in the sample, and a whole corpus of them has one
+    assert len(sample) == 43 and max(len(t) for t, _ in sample) == context_mixing.SAMPLE_CHARS
+    assert len({h for _, h in sample}) == 4
+    vocabulary = sorted({w.encode() for x in words for w in x.split()})
+    model = context_mixing.Model(vocabulary, np.full(18, 9), np.arange(18) % 8, 43, 0)
+    copies = next(h for t, h in sample if t == docs[0][1].encode())
+    without, full = context_mixing._slot_tables(own, model, {copies})
+
+    def by_hand(texts):
+        zeros, ones = model.seen([t.encode() for t in texts])
+        return context_mixing.quantised(zeros, ones)
+
+    assert (full == by_hand(t for _, t in docs)).all()
+    assert (without == by_hand(t for _, t in docs[40:])).all() and (without != full).any()
+
+
 def test_spelled_words_and_codes_are_proper():
     counts = np.array([4, 0, 8, 1, 1])  # one is added to each
     code = context_mixing.Code(counts)
