@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchloom.llm import decontaminate, line_dedup, mixing, near_copies, quality
+from patchloom.llm import decontaminate, line_dedup, mixing, quality, simhash
 from patchloom.llm.shared import saved, table
 
 
@@ -26,8 +26,8 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies stays: Jaccard 0.8 or more over five-word shingles."""
-    return near_copies.keep_one(docs)
+    """One document of each SimHash component stays: op9's three-word shingles, at most three differing bits."""
+    return simhash.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

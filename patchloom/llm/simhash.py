@@ -189,7 +189,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, that with the least id (null last), with all its columns.
 
-    Of identical rows one stays.
+    Of identical rows one stays.  Columns of ``docs`` keep their names, whatever they are.
     """
     content = ["doc_id", "text"]
     key = F.struct(F.xxhash64(*content).alias("a"), F.xxhash64(F.lit(1), *content).alias("b"))
@@ -198,5 +198,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
     first = prints.groupBy("simhash").agg(F.min(order).alias("first"))
     kept = first.join(_classes(prints), "simhash").groupBy("root").agg(F.min("first").alias("first"))
-    kept = saved(kept.select(F.col("first.key").alias("near_key")))
-    return docs.join(kept, key == F.col("near_key")).dropDuplicates(["near_key"]).drop("near_key")
+    name = "near_key" + "_" * max((len(c) for c in docs.columns), default=0)
+    kept = saved(kept.select(F.col("first.key").alias(name)))
+    return docs.join(kept, key == kept[name]).dropDuplicates([name]).drop(name)

@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from compare import checking_engine, compare
 
 import corpus_pipeline
@@ -143,6 +144,9 @@ def test_near_duplicate_rows(spark):
     assert sorted(got, key=str) == sorted([(5, 3), (3, 3), (3, 3), (None, 3), (8, 8), (9, 8), (10, 10)], key=str)
     assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == [3, 8, 10]
     assert simhash.near_duplicates(df.limit(0)).count() == 0
+    clash = df.withColumn("near_key", F.lit(1)).withColumn("key", F.lit(2)).withColumn("simhash", F.lit(3))
+    kept = simhash.keep_one(clash)
+    assert kept.columns == clash.columns and sorted(r.doc_id for r in kept.collect()) == [3, 8, 10]
 
 
 def test_pipeline_stages(spark):
