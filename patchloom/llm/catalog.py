@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchloom.llm import chat, context_mixing, decontaminate, line_dedup, mixing
-from patchloom.llm import order_minhash, pii, quality, simhash, toxicity
+from patchloom.llm import order_minhash, pii, quality, simhash, topk_search, toxicity
 from patchloom.llm.oracle import ORACLE
 from patchloom.llm.shared import table
 
@@ -62,6 +62,10 @@ def toxicity_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.graded(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_chat_formatting": chat_formatting,
@@ -74,6 +78,7 @@ def queries() -> dict[str, Query]:
         "op8_decontamination": benchmark_hits,
         "op9_simhash": simhash_classes,
         "op10_toxicity": toxicity_grades,
+        "op11_topk_search": nearest_vectors,
     }
 
 

@@ -75,8 +75,29 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
+_USABLE = r"""
+    SELECT vec_id, {extra} list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS iv
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND NOT coalesce(list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x))), false)
+"""
+
+_DOT = "coalesce(list_sum(list_transform(range(1, least(len({a}), len({b})) + 1), lambda i: {a}[i] * {b}[i])), 0)"
+
+_TOPK = r"""
+WITH v AS (""" + _USABLE.format(extra="", scale=1024) + r"""
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, """ + _DOT.format(a="q.iv", b="c.iv") + r""" AS score
+    FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0
+), r AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 10
+"""
+
 ORACLE = {
     "op1_chat_formatting": _CHATS,
     "op7_line_dedup": _LINES,
     "op8_decontamination": _HITS,
+    "op11_topk_search": _TOPK,
 }
