@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchloom.llm import chat, context_mixing, decontaminate, line_dedup, mixing
+from patchloom.llm import chat, context_mixing, decontaminate, hard_negatives, line_dedup, mixing
 from patchloom.llm import order_minhash, pii, quality, simhash, topk_search, toxicity
 from patchloom.llm.oracle import ORACLE
 from patchloom.llm.shared import table
@@ -66,6 +66,10 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search_embeddings(table(spark, sf_dir, "embeddings"))
 
 
+def mined_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_chat_formatting": chat_formatting,
@@ -79,6 +83,7 @@ def queries() -> dict[str, Query]:
         "op9_simhash": simhash_classes,
         "op10_toxicity": toxicity_grades,
         "op11_topk_search": nearest_vectors,
+        "op13_hard_negatives": mined_negatives,
     }
 
 

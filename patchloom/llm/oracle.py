@@ -95,9 +95,31 @@ WITH v AS (""" + _USABLE.format(extra="", scale=1024) + r"""
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 10
 """
 
+_NEGATIVES = r"""
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, iv FROM (""" + _USABLE.format(extra="label, ", scale=256) + r""") WHERE label IS NOT NULL
+), s AS (
+    SELECT a.vec_id AS anchor_id, a.label AS a_label, c.vec_id, c.label, """ + _DOT.format(a="a.iv", b="c.iv") + r""" AS score
+    FROM v a JOIN v c ON c.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (
+        SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM s WHERE label = a_label
+    ) WHERE r <= 5
+), n AS (
+    SELECT p.anchor_id, p.positive_id, p.positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+        row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+    FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> s.a_label
+        AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, CAST(positive_score AS BIGINT) AS positive_score,
+    CAST(negative_score AS BIGINT) AS negative_score
+FROM n WHERE rank <= 5
+"""
+
 ORACLE = {
     "op1_chat_formatting": _CHATS,
     "op7_line_dedup": _LINES,
     "op8_decontamination": _HITS,
     "op11_topk_search": _TOPK,
+    "op13_hard_negatives": _NEGATIVES,
 }
