@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchloom.llm import chat, context_mixing, decontaminate, hard_negatives, line_dedup, mixing
-from patchloom.llm import order_minhash, pii, quality, simhash, topk_search, toxicity
+from patchloom.llm import order_minhash, pii, quality, simhash, token_alignment, topk_search, toxicity
 from patchloom.llm.oracle import ORACLE
 from patchloom.llm.shared import table
 
@@ -70,6 +70,10 @@ def mined_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
 
 
+def token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.aligned_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_chat_formatting": chat_formatting,
@@ -83,6 +87,7 @@ def queries() -> dict[str, Query]:
         "op9_simhash": simhash_classes,
         "op10_toxicity": toxicity_grades,
         "op11_topk_search": nearest_vectors,
+        "op12_token_alignment": token_links,
         "op13_hard_negatives": mined_negatives,
     }
 
