@@ -7,9 +7,10 @@ hidden layer give the chunk's logit.  The mean of the chunks' logits, each
 weighted by its bytes, gives the document's probability.
 
 Training takes at most ``PER_CLASS`` labelled documents of each class, those
-with the least hashes, and at most ``CHUNKS`` chunks of each, spread evenly
-over the text; that sample is all that reaches the driver.  Scoring reads every
-byte of every document.
+with the least hashes, and all the chunks that cover each of them; that sample
+is all that reaches the driver.  Scoring reads every byte of every document,
+and a document's score depends on its bytes alone, not on its neighbours in a
+batch or a partition.
 
 Null and empty texts are one empty chunk.  A null id counts as the empty text
 where the fold is cut.  Labels of a document that stand in several rows are all
@@ -29,7 +30,6 @@ from pyspark.sql import functions as F
 from patchloom.llm.shared import broadcast_object, id_remainder, received
 
 PER_CLASS = 600
-CHUNKS = 3
 CHUNK = 512
 BLOCK = 128  # chunks start at every second block
 WIDTH = 6
@@ -55,8 +55,11 @@ class Network:
             "base": np.zeros(1),
         }
 
-    def pooled(self, data: np.ndarray) -> np.ndarray:
-        """Largest filter values per block of ``BLOCK`` positions; ``data`` has ``WIDTH`` - 1 more bytes."""
+    def pooled(self, data: np.ndarray, valid: np.ndarray) -> np.ndarray:
+        """Largest filter values per block of ``BLOCK`` positions; ``data`` has ``WIDTH`` - 1 more bytes.
+
+        Positions where ``valid`` is false can't be the largest, as in training.
+        """
         tables = self.weights["tables"].astype(np.float32)
         # two neighbouring bytes are looked up at once
         pairs = (tables[0::2, :, None, :] + tables[1::2, None, :, :]).reshape(WIDTH // 2, 65536, FILTERS)
@@ -67,13 +70,16 @@ class Network:
             values = pairs[0][codes[:n]]
             for k in range(1, WIDTH // 2):
                 values += pairs[k][codes[2 * k : 2 * k + n]]
+            values[~valid[start : start + n]] = -np.inf
             out.append(values.reshape(-1, BLOCK, FILTERS).max(axis=1))
         return np.concatenate(out)
 
     def logits(self, maxima: np.ndarray, filled: np.ndarray) -> np.ndarray:
+        """Row by row in a fixed order of sums (no matrix product, whose rounding follows the batch)."""
         w = self.weights
-        hidden = np.tanh(np.column_stack((np.tanh(maxima), filled)) @ w["hidden"] + w["shift"])
-        return hidden @ w["out"] + w["base"]
+        features = np.column_stack((np.tanh(maxima), filled))
+        hidden = np.tanh((features[:, :, None] * w["hidden"][None, :, :]).sum(axis=1) + w["shift"])
+        return (hidden * w["out"][None, :]).sum(axis=1) + w["base"]
 
     def gradients(self, chunks: np.ndarray, filled: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
         w, n = self.weights, len(chunks)
@@ -123,11 +129,19 @@ class Network:
         return self
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        """Probabilities of whole texts."""
-        # every text starts at a block; zero bytes fill its last block
-        blocks = [max(1, -(-len(x) // BLOCK)) for x in texts]
+        """Probabilities of whole texts, each a function of its own bytes alone.
+
+        Every text starts at a block and is followed by at least ``WIDTH`` - 1 zero
+        bytes of its own, so no filter reads a neighbour; positions at and beyond
+        a text's end (but for its first) are masked, as in training.
+        """
+        blocks = [max(1, -(-(len(x) + WIDTH - 1) // BLOCK)) for x in texts]
         data = np.frombuffer(b"".join(x.ljust(n * BLOCK, b"\0") for x, n in zip(texts, blocks)) + bytes(WIDTH - 1), np.uint8)
-        maxima = self.pooled(data)
+        ends = np.cumsum(blocks) * BLOCK
+        lengths = np.array([max(1, len(x)) for x in texts], np.int64)
+        place = np.arange(ends[-1] if len(texts) else 0) - np.repeat(ends - np.array(blocks) * BLOCK, np.array(blocks) * BLOCK)
+        valid = place < np.repeat(lengths, np.array(blocks) * BLOCK)
+        maxima = self.pooled(data, valid)
         doc_of, starts, sizes, at = [], [], [], 0
         for number, (text, n) in enumerate(zip(texts, blocks)):
             for first in range(0, max(1, n - CHUNK // BLOCK + 2), 2):
@@ -151,10 +165,11 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int =
     known = known.select("doc_id", F.col(label).cast("int").alias("label"))
     order = F.xxhash64(F.col("doc_id"), F.lit(5))
     zeros, ones = (known.where(F.col("label") == k).orderBy(order, "doc_id").limit(PER_CLASS) for k in (0, 1))
+    # chunks of CHUNK characters start every half chunk and cover the whole text
     size = F.greatest(F.length("text"), F.lit(1))
-    count = F.least(F.ceil(size / CHUNK), F.lit(CHUNKS))
-    starts = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.floor(k * F.greatest(size - CHUNK, F.lit(0)) / F.greatest(count - 1, F.lit(1))))
-    chunks = F.transform(starts, lambda at: F.encode(F.substr("text", at.cast("int") + 1, F.lit(CHUNK)), "utf-8"))
+    count = F.greatest(F.lit(1), F.ceil((size - CHUNK) / (CHUNK // 2)) + 1)
+    starts = F.transform(F.sequence(F.lit(0), count.cast("int") - 1), lambda k: k * (CHUNK // 2))
+    chunks = F.transform(starts, lambda at: F.encode(F.substr("text", at + 1, F.lit(CHUNK)), "utf-8"))
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     chosen = own.join(F.broadcast(zeros.union(ones)), "doc_id")
     return chosen.select("doc_id", "label", chunks.alias("chunks")).orderBy(order, "doc_id", "label").toPandas()

@@ -37,10 +37,33 @@ def test_chunks_cover_all_bytes():
     assert network.score([text])[0] == pytest.approx(whole[0])
     for at in (0, 700, len(text) - 1):
         changed = text[:at] + b"\xff\x00\xff\x00\xff\x00\xff\x00"[: len(text) - at] + text[at + 8 :]
-        maxima = [network.pooled(np.frombuffer(x.ljust(24 * 128, b"\0") + bytes(5), np.uint8)) for x in (text, changed)]
+        valid = np.arange(24 * 128) < len(text)
+        maxima = [network.pooled(np.frombuffer(x.ljust(24 * 128, b"\0") + bytes(5), np.uint8), valid)
+                  for x in (text, changed)]
         assert not np.array_equal(*maxima)
 
 
+def test_scores_do_not_depend_on_neighbours():
+    network = quality.Network(2)
+    random = np.random.default_rng(4)
+    texts = [bytes(random.integers(0, 256, n).astype(np.uint8)) for n in (0, 1, 5, 6, 122, 123, 128, 250, 256, 512, 1000, 3000)]
+    texts += [b"\xff" * 128, b"a" * 1024]
+    alone = [network.score([t])[0] for t in texts]
+    for turn in range(4):
+        order = random.permutation(len(texts))
+        batch = network.score([texts[i] for i in order])
+        assert [batch[list(order).index(i)] for i in range(len(texts))] == alone
+    assert network.score([texts[3], texts[3]]).tolist() == [alone[3], alone[3]]
+
+
+def test_scores_do_not_depend_on_partitions(spark, tables):
+    docs = tables["documents"].limit(300).cache()
+    network = quality.train(docs, tables["labels"])
+    one = {r.doc_id: r.score for r in quality.score(docs.coalesce(1), network).collect()}
+    seven = {r.doc_id: r.score for r in quality.score(docs.repartition(7), network).collect()}
+    assert one == seven
+
+
 def test_gradients_match_differences():
     random = np.random.default_rng(1)
     network = quality.Network(3)
