@@ -122,7 +122,23 @@ def _both_sides(patterns: Patterns) -> Column:
 
 
 def _key(element: str, name: str) -> str:
-    return f"named_struct('element_type', {element}.element_type, 'name', {element}.{name})"
+    """One text per (type, name): the type's length, a colon, the type, the name.
+
+    The length prefix keeps keys apart whatever the texts hold, and a text key
+    hashes and compares in one step where a struct is compared field by field.
+    """
+    return (f"concat(cast(char_length({element}.element_type) AS string), ':',"
+            f" {element}.element_type, {element}.{name})")
+
+
+def _type_of(key: str) -> str:
+    head = f"substring_index({key}, ':', 1)"
+    return f"substr({key}, char_length({head}) + 2, cast({head} AS int))"
+
+
+def _name_of(key: str) -> str:
+    head = f"substring_index({key}, ':', 1)"
+    return f"substr({key}, char_length({head}) + 2 + cast({head} AS int))"
 
 
 def _not_modified(found: str) -> str:
@@ -189,8 +205,8 @@ def structural_changes(
     )
     modified = entries(
         "modified_keys",
-        "e.element_type",
-        "e.name",
+        _type_of("e"),
+        _name_of("e"),
         "modified",
         nothing,
         nothing,

@@ -244,6 +244,17 @@ def test_user_patterns_and_element_rows(spark):
     assert [(r.element_seq, r.change_type, r.element_name) for r in rows] == [(1, "table_added", "t"), (2, "table_removed", "u")]
 
 
+def test_modified_types_with_blanks_and_colons(spark):
+    patterns = {"sql": {"my table": r"^\s*create\s+table\s+(\w+)", "1:view": r"^\s*create\s+view\s+(\w+)"}}
+    lines = [("-", "create table t"), ("+", "create table t"), ("-", "create view t"), ("+", "create view t"),
+             ("+", "create view 9")]
+    data = [(1, 1, "a.sql", "modified", None, 0, 0, lines)]
+    files = split_sides(spark.createDataFrame(data, FILES)).drop("lines")
+    rows = element_rows(analyze_files(files, patterns=patterns)).orderBy("element_seq").collect()
+    assert [(r.change_type, r.element_name) for r in rows] == [
+        ("1:view_added", "9"), ("my table_modified", "t"), ("1:view_modified", "t")]
+
+
 def exchanges(df):
     plan = df._jdf.queryExecution().executedPlan().toString()
     return plan.count("Exchange "), plan
