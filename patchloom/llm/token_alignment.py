@@ -43,6 +43,8 @@ TOKENIZERS = "/opt/tokenizers"
 A_FILE = "byte_bpe_50k.json"
 B_FILE = "piece_bpe_32k.model"
 SALTS = 32
+#: Texts are encoded this many bytes at a time, so a batch of long documents stays small in a worker.
+SLICE_BYTES = 1 << 20
 
 ALIGNED = ("row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_overlaps long, "
            "n_group_links long, groups_sha256 string, link_a array<int>, link_b array<int>")
@@ -69,6 +71,9 @@ class Aligner:
         self._ready = False
 
     def _load(self) -> None:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use every core
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -96,12 +101,13 @@ class Aligner:
         live = [i for i, t in enumerate(texts) if t]
         a_all = self.a.encode_batch([" " + texts[i] for i in live], add_special_tokens=False)
         b_all = self.b.encode([texts[i] for i in live], num_threads=1)
+        a_all = [a.ids for a in a_all]  # the encodings' tokens and offsets are not kept
         for i, a, b in zip(live, a_all, b_all):
             whole = (" " + texts[i]).encode("utf-8")
-            a_ids, b_ids = np.array(a.ids, np.int64), np.array(b, np.int64)
+            a_ids, b_ids = np.array(a, np.int64), np.array(b, np.int64)
             if self.a_len[a_ids].sum() != len(whole) or self.b_len[b_ids].sum() != len(whole):
                 continue
-            if b"".join(self.a_bytes[x] for x in a.ids) != whole or b"".join(self.b_bytes[x] for x in b) != whole:
+            if b"".join(self.a_bytes[x] for x in a) != whole or b"".join(self.b_bytes[x] for x in b) != whole:
                 continue
             out[i] = (a_ids, b_ids)
         return out
@@ -181,14 +187,19 @@ def _aligned(sent, key: str) -> callable:
         aligner = _BUILT[key]
         for frame in frames:
             texts = [t if isinstance(t, str) else "" for t in frame["text"]]
-            found = []
-            for a_ids, b_ids in aligner.encode(texts):
-                found.append(align(a_ids, b_ids, aligner.a_len, aligner.b_len))
-            out = pd.DataFrame(found, columns=["n_a", "n_b", "n_groups", "n_links", "n_overlaps", "n_group_links",
-                                               "groups_sha256", "link_a", "link_b"])
-            out.insert(0, "doc_id", frame["doc_id"].to_numpy())
-            out.insert(0, "row", frame["row"].to_numpy())
-            yield out
+            at = 0
+            while at < len(texts):
+                end, size = at + 1, len(texts[at])
+                while end < len(texts) and size + len(texts[end]) <= SLICE_BYTES:
+                    size, end = size + len(texts[end]), end + 1
+                found = [align(a_ids, b_ids, aligner.a_len, aligner.b_len)
+                         for a_ids, b_ids in aligner.encode(texts[at:end])]
+                out = pd.DataFrame(found, columns=["n_a", "n_b", "n_groups", "n_links", "n_overlaps", "n_group_links",
+                                                   "groups_sha256", "link_a", "link_b"])
+                out.insert(0, "doc_id", frame["doc_id"].to_numpy()[at:end])
+                out.insert(0, "row", frame["row"].to_numpy()[at:end])
+                yield out
+                at = end
 
     return run
 
