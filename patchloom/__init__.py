@@ -26,6 +26,8 @@ from patchloom.operators.render import (
 from patchloom.operators.summary import file_summaries, statistics, summarize, top_purposes
 from patchloom.plans.reports import analyze_diffs, diff_statistics, render_diffs, summarize_diffs
 from patchloom.sources.patch_files import (
+    SECTION_KEYS,
+    number_files,
     read_patch_files,
     read_patch_sections,
     write_parts,
@@ -34,6 +36,8 @@ from patchloom.sources.patch_files import (
 )
 
 __all__ = [
+    "SECTION_KEYS",
+    "number_files",
     "analyze_diffs",
     "analyze_files",
     "apply_template",

@@ -32,62 +32,76 @@ def read_patch_files(spark: SparkSession, path: str | Sequence[str], glob: str |
     return files.select("path", decoded(F.col("content")).alias("diff_text"))
 
 
+#: Keys that ``files_from_sections`` carries for rows of ``read_patch_sections``.
+SECTION_KEYS = ("path", "block", "opens")
+
+
 def read_patch_sections(spark: SparkSession, path: str | Sequence[str], glob: str | None = None) -> DataFrame:
-    """One row per file section of each patch file: ``path``, ``file_seq``, ``section``.
-
-    For patch files of any size: a file is split over many tasks at its
-    ``diff --git`` lines, so neither a row nor a task holds it whole.  A first
-    pass counts the sections of each input block and checks the encoding; a
-    file with an invalid byte anywhere is read as Latin-1 throughout.  Feed the
-    result to ``files_from_sections`` with ``keys=("path",)``.  File starts
-    after a lone CR are not seen here; ``read_patch_files`` sees them.
+    """One row per file section of each patch file: ``path``, ``block``, ``opens``, ``file_seq``, ``section``.
+
+    For patch files of any size, in one scan without a join or a shuffle: a file
+    is split over many tasks at its ``diff --git`` lines, so neither a row nor a
+    task holds it whole.  ``file_seq`` is an order key, not a number: sections
+    of a file follow each other by (``block``, ``file_seq``), where ``block`` is
+    the start of the input block that read them.  ``opens`` tells a record that
+    starts with ``diff --git``; the first record of a file that doesn't is text
+    before the first file.  Feed the rows to ``files_from_sections`` with
+    ``keys=SECTION_KEYS`` and give the small result to ``number_files`` for the
+    numbers 1, 2, ... of each file.
+
+    Each section is decoded on its own: UTF-8 where it is valid, else Latin-1
+    (``read_patch_files`` decides for a whole file).  Line ends become LF; a
+    lone CR at the very end of a file is dropped.  File starts after a lone CR
+    are not seen here; ``read_patch_files`` sees them.
     """
     reader = spark.read.option("lineSep", "\n" + FILE_MARK)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    rows = reader.text(path if isinstance(path, str) else list(path)).select(
+    rows = reader.text(path if isinstance(path, str) else list(path))
+    value = F.col("value")
+    text = F.when(F.is_valid_utf8(value), value).otherwise(F.decode(value.cast("binary"), "ISO-8859-1"))
+    # The separator took the LF of a CRLF before the next file; its CR goes too.
+    text = F.regexp_replace(F.regexp_replace(text, r"\r\z", ""), r"\r\n?", "\n")
+    opens = value.startswith(FILE_MARK)
+    return rows.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row_id"),
-        "value",
+        opens.alias("opens"),
+        F.monotonically_increasing_id().alias("file_seq"),
+        F.when(opens, text).otherwise(F.concat(F.lit(FILE_MARK), text)).alias("section"),
     )
-    blocks = rows.groupBy("path", "block").agg(
+
+
+def number_files(files: DataFrame, keys: Sequence[str] = PATH) -> DataFrame:
+    """Rows of ``files_from_sections`` over ``read_patch_sections`` with ``file_seq`` 1, 2, ... per file.
+
+    Text before a file's first section goes.  The numbers come from one row per
+    input block (its record count, first order key and whether it opens with a
+    file), summed over the blocks before it: a window over a file's blocks,
+    never over its sections.  That small table is computed by a second pass over
+    the files that reads no text into the rows it joins; the rows of ``files``
+    are not shuffled for it beyond that join, which AQE may turn into a broadcast.
+    The columns ``block`` and ``opens`` go.
+    """
+    owner = [*keys]
+    blocks = files.groupBy(*owner, "block").agg(
         F.count("*").alias("n"),
-        F.min("row_id").alias("first_id"),
-        F.bool_and(F.is_valid_utf8("value")).alias("valid"),
-        F.min_by(F.col("value").startswith(FILE_MARK), "row_id").alias("first_is_file"),
+        F.min("file_seq").alias("first_seq"),
+        F.min_by("opens", "file_seq").alias("first_opens"),
     )
-    # One row per input block from here on: a window over a file's blocks is small.
-    whole, before = Window.partitionBy("path"), Window.partitionBy("path").orderBy("block")
+    before = Window.partitionBy(*owner).orderBy("block")
     layout = blocks.select(
-        "path",
+        *owner,
         "block",
-        "first_id",
-        F.bool_and("valid").over(whole).alias("valid"),
-        F.sum("n").over(whole).alias("total"),
+        "first_seq",
         (F.sum("n").over(before) - F.col("n")).alias("skipped"),
-        F.first("first_is_file").over(before).alias("starts_with_file"),
-    )
-    # The layout comes from a scan of its own; a row without one means that the
-    # files or their blocks have changed since, which must not pass in silence.
-    known = F.when(F.col("first_id").isNotNull(), F.col("first_id")).otherwise(
-        F.raise_error(F.concat(F.lit("blocks changed between two scans of "), "path")).cast("bigint")
-    )
-    placed = rows.join(layout, ["path", "block"], "left").withColumn(
-        "place", F.col("skipped") + F.col("row_id") - known
-    )
-    text = F.when(F.col("valid"), F.col("value")).otherwise(
-        F.decode(F.col("value").cast("binary"), "ISO-8859-1")
-    )
-    is_last = F.col("place") == F.col("total") - 1
-    # The separator took the LF of a CRLF before the next file; its CR goes too.
-    text = F.when(is_last, text).otherwise(F.regexp_replace(text, r"\r\z", ""))
-    text = F.regexp_replace(text, r"\r\n?", "\n")
-    section = F.when(F.col("place") == 0, text).otherwise(F.concat(F.lit(FILE_MARK), text))
-    file_seq = F.col("place") + F.when(F.col("starts_with_file"), 1).otherwise(0)
-    return placed.select("path", file_seq.alias("file_seq"), section.alias("section")).where(
-        F.col("file_seq") > 0
+        F.first("first_opens").over(before).alias("starts_with_file"),
     )
+    placed = files.join(layout, [*owner, "block"])
+    place = F.col("skipped") + F.col("file_seq") - F.col("first_seq")
+    number = place + F.when(F.col("starts_with_file"), 1).otherwise(0)
+    rest = [c for c in files.columns if c not in (*owner, "block", "opens", "file_seq")]
+    return placed.select(*owner, number.alias("file_seq"), *rest).where(F.col("file_seq") > 0)
 
 
 def write_rendered(rendered: DataFrame, path: str, by: Sequence[str] = ()) -> None:

@@ -9,6 +9,8 @@ from patchloom import (
     files_from_sections,
     parse_files,
     read_patch_files,
+    SECTION_KEYS,
+    number_files,
     read_patch_sections,
     render_diffs,
     render_parts,
@@ -55,7 +57,7 @@ def test_files_read_in_sections_give_the_same_files(spark, patches, block):
     spark.conf.set(name, block)
     try:
         sections = read_patch_sections(spark, patches)
-        parts = files_from_sections(sections, keys=("path",)).select(*COLUMNS).collect()
+        parts = number_files(files_from_sections(sections, keys=SECTION_KEYS)).select(*COLUMNS).collect()
         assert sections.rdd.getNumPartitions() >= 1
     finally:
         spark.conf.set(name, before)
@@ -103,9 +105,24 @@ def test_analysis_runs_on_a_stream(spark, patches, tmp_path):
     assert spark.read.parquet(str(tmp_path / "o")).count() == 3008
 
 
+def test_sections_are_read_in_one_scan_without_a_join_or_a_shuffle(spark, patches):
+    files = files_from_sections(read_patch_sections(spark, patches), keys=SECTION_KEYS)
+    plan = files._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan and "Join" not in plan
+
+
 def test_sections_feed_the_roll_up(spark, patches):
     keys = ("path",)
-    files = files_from_sections(read_patch_sections(spark, patches), keys)
+    files = number_files(files_from_sections(read_patch_sections(spark, patches), SECTION_KEYS))
     row = summarize(analyze_files(files, keys), keys, known_purposes=True).where(F.endswith("path", F.lit("big.patch"))).first()
     whole = summarize_diffs(read_patch_files(spark, patches), keys).where(F.endswith("path", F.lit("big.patch"))).first()
     assert (row.overview, row.statistics, row.key_changes) == (whole.overview, whole.statistics, whole.key_changes)
+
+
+def test_each_section_is_decoded_on_its_own(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "m.patch").write_bytes(b"intro\r\n" + A.encode() + A.encode("latin-1") + b"\r")
+    rows = number_files(files_from_sections(read_patch_sections(spark, str(folder)), SECTION_KEYS))
+    got = sorted((r.file_seq, r.filename, list(r.added_lines)) for r in rows.collect())
+    assert got == [(1, "é.py", ["x = 'é'"]), (2, "é.py", ["x = 'é'"])]

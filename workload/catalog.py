@@ -16,6 +16,8 @@ from patchloom.plans import reports
 from patchloom.sources.patch_files import (
     PATH,
     read_patch_files,
+    SECTION_KEYS,
+    number_files,
     read_patch_sections,
     write_rendered,
     write_reports,
@@ -243,7 +245,8 @@ def _patch_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _patch_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     sections = read_patch_sections(spark, _patch_folder(spark, sf_dir))
-    return _from_bundles(parse.files_from_sections(sections, PATH))
+    files = parse.files_from_sections(sections, SECTION_KEYS).drop("added_lines", "removed_lines")
+    return _from_bundles(number_files(files, PATH))
 
 
 def _stored_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
