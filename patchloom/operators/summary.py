@@ -194,14 +194,20 @@ def _first_noted(entries: str) -> Column:
     return F.expr(f"concat({firsts})")
 
 
-def _purpose_entries() -> Column:
+def _purpose_entries(source: str = "purposes") -> Column:
     """A file's purposes as (minus count, first place, purpose)."""
     return F.expr(
-        "transform(purposes, (p, i) -> named_struct("
+        f"transform({source}, (p, i) -> named_struct("
         "'n', -1L, 'first', named_struct('file_seq', file_seq, 'pos', i), 'purpose', p))"
     )
 
 
+#: Purposes of any text, from ``purpose_inference``; files without a name or a purpose have none.
+OPEN_PURPOSES = (
+    "CASE WHEN filename IS NOT NULL AND purpose_inference <> '' THEN split(purpose_inference, '; ') END"
+)
+
+
 def _counted_purposes(entries: str) -> Column:
     """Entries of the same purpose added up; the list has one entry per purpose."""
     return F.expr(
@@ -307,10 +313,9 @@ def _rollup(files: DataFrame, keys: Sequence[str], known_purposes: bool, with_fi
         [*keys, "file_seq", "filename", "lines_added", "lines_removed", *texts],
         **flags,
         noted=F.when(F.col("filename").isNotNull(), _noted()),
-        **({"counted": _purpose_entries()} if known_purposes else {}),
+        counted=_purpose_entries() if known_purposes else _purpose_entries(OPEN_PURPOSES),
     )
-    if known_purposes:
-        lists["counted"] = _counted_purposes("counted")
+    lists["counted"] = _counted_purposes("counted")
 
     def shortened(grouped: DataFrame, kept: Sequence[str]) -> DataFrame:
         rest = [c for c in grouped.columns if c not in lists and c not in kept]
@@ -333,11 +338,35 @@ def _rollup(files: DataFrame, keys: Sequence[str], known_purposes: bool, with_fi
     merged = [F.expr(f"{_merge(name)} AS {name}") for name in _PER_CHUNK]
     if with_files:
         file_list = [F.expr("array_sort(flatten(collect_list(file_list))) AS file_list")]
-    whole = shortened(chunks.groupBy(*keys).agg(*merged, *collected, *file_list), keys)
-    if not known_purposes:
-        return whole
-    top = f"transform(slice(array_sort(counted), 1, {fixed.TOP_PURPOSES}), x -> x.purpose)"
-    return whole.withColumn("top", F.expr(top)).drop("counted")
+    if known_purposes:
+        whole = shortened(chunks.groupBy(*keys).agg(*merged, *collected, *file_list), keys)
+        top = f"transform(slice(array_sort(counted), 1, {fixed.TOP_PURPOSES}), x -> x.purpose)"
+        return whole.withColumn("top", F.expr(top)).drop("counted")
+    # Any purpose text: each chunk gives one row of its counters and one row per
+    # purpose with its exact count; one aggregation merges both kinds by change
+    # set (and purpose), so the scan, parsing and analysis run once.
+    rest = [c for c in chunks.columns if c not in (*keys, "chunk", "counted")]
+    first_type = chunks.schema["counted"].dataType.elementType["first"].dataType
+    typed = lambda name: F.lit(None).cast(chunks.schema[name].dataType).alias(name)
+    base = F.struct(F.lit(0).alias("kind"), F.lit(None).cast("string").alias("purpose"),
+                    F.lit(None).cast("bigint").alias("n"), F.lit(None).cast(first_type).alias("first"),
+                    *[F.col(c) for c in rest])
+    each = F.transform("counted", lambda e: F.struct(F.lit(1).alias("kind"), e["purpose"].alias("purpose"),
+                                                     e["n"].alias("n"), e["first"].alias("first"),
+                                                     *[typed(c) for c in rest]))
+    rows = chunks.select(*keys, F.explode(F.concat(F.array(base), each)).alias("r")).select(*keys, "r.*")
+    grouped = rows.groupBy(*keys, "kind", "purpose").agg(
+        *merged, collected[0], *file_list, F.sum("n").alias("n"), F.min("first").alias("first"))
+    order = Window.partitionBy(*keys).orderBy("kind", "n", "first")
+    ranked = grouped.withColumn("rank", F.row_number().over(order)).where(
+        (F.col("kind") == 0) | (F.col("rank") <= fixed.TOP_PURPOSES + 1))
+    own = [c for c in grouped.columns if c not in (*keys, "kind", "purpose", "n", "first")]
+    whole = ranked.groupBy(*keys).agg(
+        *[F.first(F.when(F.col("kind") == 0, F.col(c)), ignorenulls=True).alias(c) for c in own],
+        F.array_sort(F.collect_list(F.when(F.col("kind") == 1, F.struct("rank", "purpose")))).alias("ranked"))
+    del lists["counted"]
+    whole = shortened(whole, keys)
+    return whole.withColumn("top", F.transform("ranked", lambda x: x["purpose"])).drop("ranked")
 
 
 def _report(rolled: DataFrame, keys: Sequence[str], with_files: bool) -> DataFrame:
@@ -405,20 +434,6 @@ def summarize(
     if with_files:
         files = _with_summary(files)
     rolled = _rollup(files, keys, known_purposes, with_files)
-    if not known_purposes:
-        top = (
-            top_purposes(files.where(F.col("filename").isNotNull()), keys)
-            .groupBy(*keys)
-            .agg(F.array_sort(F.collect_list(F.struct("rank", "purpose"))).alias("ranked"))
-        )
-        none = F.array().cast(STRINGS)
-        top = top.select("ranked", F.struct(*keys).alias("ranked_keys"))
-        # a null key is a change set like any other
-        rolled = (
-            rolled.join(top, F.struct(*keys).eqNullSafe(F.col("ranked_keys")), "left")
-            .withColumn("top", F.coalesce(F.transform("ranked", lambda x: x["purpose"]), none))
-            .drop("ranked_keys")
-        )
     return _report(rolled, keys, with_files)
 
 
