@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from patchloom.llm.shared import broadcast_object, received
+from patchloom.llm.shared import broadcast_object, private, received
 
 WINDOW = 13
 COVERAGE = 20
@@ -207,11 +207,12 @@ def with_hits(
     passes = [docs.select(sha.alias("hash"), one(F.col("text")).alias("found")) for one in search]
     hits = reduce(DataFrame.unionByName, [x.where("size(found.spans) > 0") for x in passes])
     merged = hits.dropDuplicates().groupBy("hash").applyInPandas(_merge, f"hash string, found {FOUND}")
-    merged = merged.select(F.col("hash").alias(f"{name}_hash"), F.col("found").alias(name))
-    rows = docs.withColumn(f"{name}_key", sha).join(merged, F.col(f"{name}_key") == F.col(f"{name}_hash"), "left")
+    own_hash, own_key = private(docs, f"{name}_hash"), private(docs, f"{name}_key")
+    merged = merged.select(F.col("hash").alias(own_hash), F.col("found").alias(name))
+    rows = docs.withColumn(own_key, sha).join(merged, F.col(own_key) == F.col(own_hash), "left")
     words = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("bigint")
     nothing = F.struct(words.alias("n_words"), F.array().alias("spans"), F.array().alias("items")).cast(FOUND)
-    return rows.withColumn(name, F.coalesce(name, nothing)).drop(f"{name}_key", f"{name}_hash")
+    return rows.withColumn(name, F.coalesce(name, nothing)).drop(own_key, own_hash)
 
 
 def _hit_words(found: str) -> Column:

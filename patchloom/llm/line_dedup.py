@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patchloom.llm.shared import saved
+from patchloom.llm.shared import private, saved
 
 MIN_SITES = 10
 #: Fixed by the sketch's size: 2**LG_K registers have a relative error of about 1.04 / sqrt(2**LG_K).
@@ -63,26 +63,29 @@ def remove_boilerplate(
 ) -> DataFrame:
     """``docs`` without repeated boilerplate lines in ``text``; all columns stay.
 
-    With ``counts`` the columns ``n_lines`` and ``n_removed`` follow.
+    With ``counts`` the columns ``n_lines`` and ``n_removed`` follow (in place of
+    columns of those names).  Other columns keep their names, whatever they are.
     """
     rows = _rows(docs, site)
     common = saved(boilerplate(rows, min_sites))
     again = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos")))
     places = rows.join(common, "line").where(again).groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
-    gone = saved(places.select(F.col("doc").alias("line_dedup_doc"), F.col("gone").alias("line_dedup_gone")))
+    own_doc, own_gone, own_lines, own_text = (private(docs, f"line_dedup_{x}") for x in ("doc", "gone", "lines", "text"))
+    gone = saved(places.select(F.col("doc").alias(own_doc), F.col("gone").alias(own_gone)))
     key = _two_hashes(F.col("doc_id"), F.col("text"))
-    joined = docs.join(gone, key == F.col("line_dedup_doc"), "left")
+    joined = docs.join(gone, key == F.col(own_doc), "left")
     # what stands between two removed lines is one slice
-    cuts = "concat(array(-1), line_dedup_gone, array(size(split(text, '\\n', -1))))"
-    kept = f"""array_join(flatten(transform(slice({cuts}, 2, size(line_dedup_gone) + 1), (at, i) ->
-        slice(line_dedup_lines, {cuts}[i] + 2, at - {cuts}[i] - 1))), '\\n')"""
-    gone_rows = joined.withColumn("line_dedup_lines", F.when(F.col("line_dedup_gone").isNotNull(), _lines("text")))
-    text = F.when(F.col("line_dedup_gone").isNull(), F.col("text")).otherwise(F.expr(kept))
-    out = gone_rows.withColumn("line_dedup_text", text)
-    columns = [F.col("line_dedup_text").alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    cuts = f"concat(array(-1), {own_gone}, array(size(split(text, '\\n', -1))))"
+    kept = f"""array_join(flatten(transform(slice({cuts}, 2, size({own_gone}) + 1), (at, i) ->
+        slice({own_lines}, {cuts}[i] + 2, at - {cuts}[i] - 1))), '\\n')"""
+    gone_rows = joined.withColumn(own_lines, F.when(F.col(own_gone).isNotNull(), _lines("text")))
+    text = F.when(F.col(own_gone).isNull(), F.col("text")).otherwise(F.expr(kept))
+    out = gone_rows.withColumn(own_text, text)
+    added = ["n_lines", "n_removed"] if counts else []
+    columns = [F.col(own_text).alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in added]
     if counts:
         columns += [
             F.coalesce(F.size(_lines("text")), F.lit(0)).cast("bigint").alias("n_lines"),
-            F.coalesce(F.size("line_dedup_gone"), F.lit(0)).cast("bigint").alias("n_removed"),
+            F.coalesce(F.size(own_gone), F.lit(0)).cast("bigint").alias("n_removed"),
         ]
     return out.select(*columns)

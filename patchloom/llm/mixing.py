@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from patchloom.llm.shared import WORD, saved
+from patchloom.llm.shared import WORD, private, saved
 
 GROUP = 64
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -174,12 +174,14 @@ def mixed_sizes(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, source: str = "source", **options) -> DataFrame:
     """The documents that the mix takes, all columns and ``copies``, how often each is taken.
 
-    Identical rows come back as one with their copies added.
+    Identical rows come back as one with their copies added.  ``copies`` takes the
+    place of a column of that name; other columns keep their names, whatever they are.
     """
     content = ["doc_id", source, "text"]
     key = F.struct(F.xxhash64(*content).alias("a"), F.xxhash64(F.lit(1), *content).alias("b"))
     copies = mixture(docs, source, **options).groupBy("key").agg(F.sum("copies").alias("copies"))
-    taken = copies.where("copies > 0").select(F.col("key").alias("mix_key"), F.col("copies").alias("mix_copies"))
-    rows = docs.join(taken, key == F.col("mix_key")).dropDuplicates(["mix_key"])
+    own_key, own_copies = private(docs, "mix_key"), private(docs, "mix_copies")
+    taken = copies.where("copies > 0").select(F.col("key").alias(own_key), F.col("copies").alias(own_copies))
+    rows = docs.join(taken, key == F.col(own_key)).dropDuplicates([own_key])
     kept = [c for c in docs.columns if c != "copies"]
-    return rows.select(*kept, F.col("mix_copies").alias("copies"))
+    return rows.select(*kept, F.col(own_copies).alias("copies"))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from patchloom.llm.shared import LOWER, broadcast_object, cut, received, saved
+from patchloom.llm.shared import LOWER, broadcast_object, cut, private, received, saved
 from patchloom.llm.simhash import components
 
 SHINGLE = 5
@@ -234,5 +234,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     roots = _components(own, reps, rows.count())
     named = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = named.groupBy("root").agg(F.min("first").alias("first"))
-    kept = saved(kept.select(F.col("first.key").alias("near_key")))
-    return docs.join(kept, key == F.col("near_key")).dropDuplicates(["near_key"]).drop("near_key")
+    own = private(docs, "near_key")
+    kept = saved(kept.select(F.col("first.key").alias(own)))
+    return docs.join(kept, key == F.col(own)).dropDuplicates([own]).drop(own)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchloom.functions.text import sql_text
-from patchloom.llm.shared import cut, saved
+from patchloom.llm.shared import cut, private, saved
 from patchloom.operators.parse import fixed_columns
 
 #: Titles by gender.
@@ -208,8 +208,12 @@ def moved_entities(entities: DataFrame, key: str) -> DataFrame:
 
 
 def with_surrogates(docs: DataFrame, text: str = "text", key: str = "surrogates") -> DataFrame:
-    """``docs`` with entities of ``text`` replaced, and ``n_entities``."""
-    found, moved = "pii_found", "pii_moved"
+    """``docs`` with entities of ``text`` replaced, and ``n_entities``.
+
+    ``n_entities`` takes the place of a column of that name; other columns keep
+    their names, whatever they are.
+    """
+    found, moved, own_text, made, out = (private(docs, f"pii_{x}") for x in ("found", "moved", "text", "made", "text_out"))
     columns = [F.col(c) for c in docs.columns]
     rows = with_entities(docs, text, found)
     entities = with_entities(docs.select(text).where(F.col(text).rlike(HINT)), text, found)
@@ -220,15 +224,15 @@ def with_surrogates(docs: DataFrame, text: str = "text", key: str = "surrogates"
     else:
         hashed = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
         texts = with_entities(docs.select(text).where(F.col(text).rlike(HINT)), text, found)
-        pairs = texts.select(hashed.alias("pii_text"), F.inline(found)).distinct().join(nonces, ["kind", "value"])
+        pairs = texts.select(hashed.alias(own_text), F.inline(found)).distinct().join(nonces, ["kind", "value"])
         entry = F.struct(F.concat_ws("|", "kind", "value").alias("k"), "nonce")
-        maps = pairs.groupBy("pii_text").agg(F.map_from_entries(F.collect_set(entry)).alias(moved))
-        rows = rows.join(saved(maps), hashed == F.col("pii_text"), "left")
+        maps = pairs.groupBy(own_text).agg(F.map_from_entries(F.collect_set(entry)).alias(moved))
+        rows = rows.join(saved(maps), hashed == F.col(own_text), "left")
     nonce = f"coalesce(element_at({moved}, concat_ws('|', e.kind, e.value)), 0)"
-    made = f"transform({found}, e -> {surrogate_sql('e.value', 'e.kind', nonce, key)})"
+    surrogates = f"transform({found}, e -> {surrogate_sql('e.value', 'e.kind', nonce, key)})"
     pieces = f"split({text}, {sql_text(ANY)}, -1)"
     joined = f"""CASE WHEN size({found}) = 0 THEN {text}
-        ELSE array_join(transform({pieces}, (p, i) -> concat(p, coalesce(get(pii_made, i), ''))), '') END"""
-    rows = rows.withColumn("pii_made", F.expr(made)).withColumn("pii_text_out", F.expr(joined))
-    kept = [F.col("pii_text_out").alias(text) if c == text else F.col(c) for c in docs.columns if c != "n_entities"]
+        ELSE array_join(transform({pieces}, (p, i) -> concat(p, coalesce(get({made}, i), ''))), '') END"""
+    rows = rows.withColumn(made, F.expr(surrogates)).withColumn(out, F.expr(joined))
+    kept = [F.col(out).alias(text) if c == text else F.col(c) for c in docs.columns if c != "n_entities"]
     return rows.select(*kept, F.size(found).cast("bigint").alias("n_entities"))

@@ -48,6 +48,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def private(df: DataFrame, name: str) -> str:
+    """``name`` made longer than every column of ``df``, so an operator's own column never meets a caller's."""
+    return name + "_" * (1 + max((len(c) for c in df.columns), default=0))
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, all else untouched."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

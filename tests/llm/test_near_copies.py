@@ -5,7 +5,6 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-import corpus_pipeline
 from patchloom.llm import near_copies, simhash
 from patchloom.llm.shared import LOWER
 
@@ -34,10 +33,11 @@ def kept_by_hand(docs):
     return {find(i) for i in sets}
 
 
-def test_stage_finds_all_near_copies(spark):
+def test_jaccard_near_copies_finds_all(spark):
+    # the pipeline's stage calls SimHash with op9's contract (test_dedup.py); this operator stays in the library
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     want = kept_by_hand([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
-    got = corpus_pipeline.drop_near_duplicates(spark, docs, "").select("doc_id").collect()
+    got = near_copies.keep_one(docs).select("doc_id").collect()
     assert sorted(r.doc_id for r in got) == sorted(want)
     # three bits of a fingerprint leave some of them in
     assert simhash.keep_one(docs).count() > len(got)
