@@ -15,9 +15,11 @@ group-incidence product G_A·G_Bᵀ links tokens that share a group
 listing them, so a long group never builds its square).
 
 Across the corpus, Spark counts how many links hold each (A id, B id) pair and
-the highest count per B id; per-document rows are first summed by (document,
-pair) and the join to the pair counts is salted, so a pair standing in every
-document never lands in one task.
+the highest count per B id.  A task sums its documents' links by pair before
+anything leaves it.  The pair counts go back to the documents by a broadcast
+where their number is below ``BROADCAST_PAIRS`` (counted first), else by a join
+salted over ``SALTS`` parts, so a pair standing in every document never lands
+in one task.
 
 Edge cases: null, empty, or texts whose joined A or B bytes differ from
 space + text get no tokens: zeros and an empty ``groups_sha256``.  Rows are kept
@@ -43,11 +45,15 @@ TOKENIZERS = "/opt/tokenizers"
 A_FILE = "byte_bpe_50k.json"
 B_FILE = "piece_bpe_32k.model"
 SALTS = 32
+#: The pre-split of byte-level BPE (contractions, letters, digits, other runs, spaces).
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Pair counts are broadcast up to this many distinct (A id, B id) pairs, counted first; beyond, the join is salted.
+BROADCAST_PAIRS = 2_000_000
 #: Texts are encoded this many bytes at a time, so a batch of long documents stays small in a worker.
 SLICE_BYTES = 1 << 20
 
 ALIGNED = ("row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_overlaps long, "
-           "n_group_links long, groups_sha256 string, link_a array<int>, link_b array<int>")
+           "n_group_links long, groups_sha256 string, link_a array<int>, link_b array<int>, link_n array<int>")
 
 
 def _byte_values() -> dict[str, int]:
@@ -71,17 +77,23 @@ class Aligner:
         self._ready = False
 
     def _load(self) -> None:
-        import os
+        import json
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use every core
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.a = Tokenizer.from_str(self.a_json)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_proto=self.b_model)
+        model = json.loads(self.a_json)
+        special = {t["content"] for t in model.get("added_tokens", [])}
         values = _byte_values()
-        self.a_bytes = [bytes(values[c] for c in (self.a.id_to_token(i) or "")) for i in range(self.a.get_vocab_size())]
+        vocab = {bytes(values[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
+        # A's merges are its vocabulary order, so the file's entries as ranks encode the same ids (tested against
+        # the file's own tokenizer); special tokens' strings stay plain text
+        self.a = tiktoken.Encoding("byte_bpe", pat_str=SPLIT, mergeable_ranks=vocab, special_tokens={})
+        self.b = sentencepiece.SentencePieceProcessor(model_proto=self.b_model)
+        size = max(model["model"]["vocab"].values()) + 1
+        self.a_bytes = [b""] * size
+        for token, i in vocab.items():
+            self.a_bytes[i] = token
         fallback = re.compile(r"<0x([0-9A-Fa-f]{2})>")
         self.b_bytes = []
         for i in range(self.b.get_piece_size()):
@@ -99,15 +111,14 @@ class Aligner:
         empty = (np.empty(0, np.int64), np.empty(0, np.int64))
         out = [empty] * len(texts)
         live = [i for i, t in enumerate(texts) if t]
-        a_all = self.a.encode_batch([" " + texts[i] for i in live], add_special_tokens=False)
+        a_all = [self.a.encode_ordinary(" " + texts[i]) for i in live]
         b_all = self.b.encode([texts[i] for i in live], num_threads=1)
-        a_all = [a.ids for a in a_all]  # the encodings' tokens and offsets are not kept
         for i, a, b in zip(live, a_all, b_all):
             whole = (" " + texts[i]).encode("utf-8")
             a_ids, b_ids = np.array(a, np.int64), np.array(b, np.int64)
             if self.a_len[a_ids].sum() != len(whole) or self.b_len[b_ids].sum() != len(whole):
                 continue
-            if b"".join(self.a_bytes[x] for x in a) != whole or b"".join(self.b_bytes[x] for x in b) != whole:
+            if b"".join(map(self.a_bytes.__getitem__, a)) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
                 continue
             out[i] = (a_ids, b_ids)
         return out
@@ -156,7 +167,7 @@ def align(a_ids: np.ndarray, b_ids: np.ndarray, a_len: np.ndarray, b_len: np.nda
     rows, cols, _ = gustavson((a_ptr, a_idx), transposed(b_ptr))
     a_end, b_end = a_ptr[1:], b_ptr[1:]
     together = a_end[rows] == b_end[cols]
-    cuts = np.intersect1d(a_end, b_end)
+    cuts = np.intersect1d(a_end, b_end, assume_unique=True)
     a_group, b_group = np.searchsorted(cuts, a_end), np.searchsorted(cuts, b_end)
     # symbolic Gustavson of G_A·G_Bᵀ: row i has as many non-zeros as its group has B tokens
     b_per_group = np.bincount(b_group, minlength=len(cuts))
@@ -165,16 +176,40 @@ def align(a_ids: np.ndarray, b_ids: np.ndarray, a_len: np.ndarray, b_len: np.nda
     side = np.concatenate((np.zeros(len(a_ids), np.int64), np.ones(len(b_ids), np.int64)))
     order = np.lexsort((np.arange(len(ids)), side, group))
     group, side = group[order], side[order]
-    seps = np.where(group[1:] != group[:-1], ";", np.where(side[1:] != side[:-1], "|", ","))
-    text = "".join(f"{i}{s}" for i, s in zip(ids[order].tolist(), [*seps.tolist(), ""]))
+    seps = np.where(group[1:] != group[:-1], ord(";"), np.where(side[1:] != side[:-1], ord("|"), ord(",")))
+    text = _decimal_text(ids[order], seps)
     return {
         "n_a": len(a_ids), "n_b": len(b_ids), "n_groups": len(cuts), "n_links": int(together.sum()),
         "n_overlaps": len(rows), "n_group_links": int(b_per_group[a_group].sum()),
-        "groups_sha256": hashlib.sha256(text.encode()).hexdigest() if len(ids) else "",
-        "link_a": a_ids[rows[together]].astype(np.int32), "link_b": b_ids[cols[together]].astype(np.int32),
+        "groups_sha256": hashlib.sha256(text).hexdigest() if len(ids) else "",
+        **_pairs(a_ids[rows[together]], b_ids[cols[together]]),
     }
 
 
+def _decimal_text(ids: np.ndarray, seps: np.ndarray) -> bytes:
+    """ASCII of ids in decimal, each followed by its separator byte (the last by none)."""
+    if not len(ids):
+        return b""
+    places = len(str(int(ids.max())))
+    powers = 10 ** np.arange(places - 1, -1, -1, dtype=np.int64)
+    digits = (ids[:, None] // powers[None, :]) % 10 + 48
+    width = np.maximum(1, np.floor(np.log10(np.maximum(ids, 1))).astype(np.int64) + 1)
+    keep = np.arange(places)[None, :] >= places - width[:, None]
+    table = np.column_stack((digits, np.append(seps, 0)))
+    keep = np.column_stack((keep, np.arange(len(ids)) < len(ids) - 1))
+    return table[keep].astype(np.uint8).tobytes()
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> dict:
+    """Distinct (A id, B id) pairs of a document's links, with how many links hold each."""
+    if not len(a):
+        empty = np.empty(0, np.int32)
+        return {"link_a": empty, "link_b": empty, "link_n": empty}
+    pairs, n = np.unique(a.astype(np.int64) << 32 | b.astype(np.int64), return_counts=True)
+    return {"link_a": (pairs >> 32).astype(np.int32), "link_b": (pairs & 0xFFFFFFFF).astype(np.int32),
+            "link_n": n.astype(np.int32)}
+
+
 #: Aligners already built in this worker, by a key of their files: built once, not once a task.
 _BUILT: dict[str, Aligner] = {}
 
@@ -195,7 +230,7 @@ def _aligned(sent, key: str) -> callable:
                 found = [align(a_ids, b_ids, aligner.a_len, aligner.b_len)
                          for a_ids, b_ids in aligner.encode(texts[at:end])]
                 out = pd.DataFrame(found, columns=["n_a", "n_b", "n_groups", "n_links", "n_overlaps", "n_group_links",
-                                                   "groups_sha256", "link_a", "link_b"])
+                                                   "groups_sha256", "link_a", "link_b", "link_n"])
                 out.insert(0, "doc_id", frame["doc_id"].to_numpy()[at:end])
                 out.insert(0, "row", frame["row"].to_numpy()[at:end])
                 yield out
@@ -224,18 +259,21 @@ def aligned_documents(docs: DataFrame, tokenizers: str = TOKENIZERS) -> DataFram
     ``count_sum``: the counts of a document's links, summed.
     """
     found = alignments(docs, tokenizers)
-    links = found.select("row", F.explode(F.arrays_zip(F.col("link_a").alias("a"), F.col("link_b").alias("b"))).alias("l"))
-    per_row = links.groupBy("row", F.col("l.a").alias("a"), F.col("l.b").alias("b")).agg(F.count("*").alias("n"))
-    per_row = saved(per_row)
+    zipped = F.arrays_zip(F.col("link_a").alias("a"), F.col("link_b").alias("b"), F.col("link_n").alias("n"))
+    per_row = found.select("row", F.explode(zipped).alias("l")).select("row", "l.a", "l.b", "l.n")
     counts = per_row.groupBy("a", "b").agg(F.sum("n").alias("count"))
     best = counts.groupBy("b").agg(F.max("count").alias("best"))
-    pairs = counts.join(best, "b").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = per_row.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(pairs, ["a", "b", "salt"])
+    pairs = counts.join(best, "b")
+    if pairs.count() <= BROADCAST_PAIRS:  # checked: at most BROADCAST_PAIRS rows of four numbers
+        joined = per_row.join(F.broadcast(pairs), ["a", "b"])
+    else:
+        pairs = pairs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = per_row.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+        joined = salted.join(pairs, ["a", "b", "salt"])
     sums = joined.groupBy("row").agg(
         F.sum(F.when(F.col("count") == F.col("best"), F.col("n")).otherwise(0)).alias("n_best"),
         F.sum(F.col("n") * F.col("count")).alias("count_sum"))
-    out = found.drop("link_a", "link_b").join(sums, "row", "left")
+    out = found.drop("link_a", "link_b", "link_n").join(sums, "row", "left")
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links",
                       F.coalesce("n_best", F.lit(0)).cast("bigint").alias("n_best"),
                       F.coalesce("count_sum", F.lit(0)).cast("bigint").alias("count_sum"),

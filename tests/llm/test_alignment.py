@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from patchloom.llm import token_alignment as T
 
@@ -42,7 +43,10 @@ def by_hand(texts):
             for n_a, n_b, n_g, links, sha in docs]
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_against_brute_force(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(T, "BROADCAST_PAIRS", 0)
     rows = [(i if i != 4 else None, t, "s", 1, 2) for i, t in enumerate(TEXTS)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, row int, n_a int")
     got = T.aligned_documents(df).collect()
@@ -56,6 +60,24 @@ def test_against_brute_force(spark):
     assert T.aligned_documents(df.limit(0)).count() == 0
 
 
+def test_byte_bpe_ids_equal_the_files_own_tokenizer():
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(f"{T.TOKENIZERS}/{T.A_FILE}")
+    reference.encode_special_tokens = True
+    aligner = T.Aligner(open(f"{T.TOKENIZERS}/{T.A_FILE}").read(), open(f"{T.TOKENIZERS}/{T.B_FILE}", "rb").read())
+    texts = [t for t in TEXTS if t] + ["it's we'll 12345 x\u00a0y  \n\n z", "<|endoftext|><|endoftext|>"]
+    got = [a.tolist() for a, _ in aligner.encode(texts)]
+    want = [e.ids for e in reference.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    assert got == want
+
+
+def test_decimal_text():
+    ids = np.array([0, 7, 10, 99, 100, 31999, 50255])
+    seps = np.array([ord(c) for c in ",|,;,|"])
+    assert T._decimal_text(ids, seps) == b"0,7|10,99;100,31999|50255"
+
+
 def test_gustavson_equals_dense_product():
     random = np.random.default_rng(1)
     for _ in range(50):
