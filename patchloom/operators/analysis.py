@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from patchloom import fixed_values as fixed
 from patchloom.functions.language import detect_language
+from patchloom.functions.regex import checked_patterns
 from patchloom.functions.text import sql_text
 from patchloom.operators.elements import ELEMENTS, Patterns, structural_changes
 from patchloom.operators.parse import DIFF_ID, fixed_columns
@@ -135,13 +136,21 @@ def analyze_files(
     out; with ``keep_empty`` its row stays with a NULL name so that its change
     set is not lost.  With ``compat`` a file in which a pattern without a group
     matched counts as failed: its text becomes "Analysis failed", its score 0.
+
+    User ``patterns`` are Python ``re`` patterns, translated to the engine's
+    dialect by ``to_engine``.  A language with a pattern that can't run is
+    left out: its files count as failed as above, and all others go on.
+    ``checked_patterns`` tells why.
     """
     named = files.withColumn("filename", F.nullif("filename", F.lit("")))
     if not keep_empty:
         named = files.where(F.col("filename") != "")
+    refused = {}
+    if patterns:
+        patterns, refused = checked_patterns(patterns, files.sparkSession)
     found = structural_changes(
         named.withColumn("language", detect_language(F.col("filename"), extensions)),
-        **({"patterns": patterns} if patterns else {}),
+        **({"patterns": patterns} if patterns or refused else {}),
     )
     carried = [
         *keys,
@@ -154,6 +163,8 @@ def analyze_files(
         "lines_removed",
     ]
     failed = F.col("matched_without_name") if compat else F.lit(False)
+    if refused:
+        failed = failed | F.coalesce(F.col("language").isin(list(refused)), F.lit(False))
     counted = found.select(
         *carried,
         "elements",
