@@ -15,8 +15,9 @@ with the least hashes, whole; of their features the ``FEATURES`` with the
 strongest association reach the driver.  Every word of every document is scored.
 
 Null and empty texts have no features and get the severity of the cuts alone.
-Null labels are not used; repeated rows are.  Without documents of both classes
-every severity is 0.
+Null labels are not used; a document with several labels takes the largest
+(toxic if any label says so); repeated document rows are used.  Without
+documents of both classes every severity is 0.
 """
 
 from __future__ import annotations
@@ -109,7 +110,8 @@ def _features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[dict[str, float], list[float]] | None:
     """Weights by feature and cuts; None where a class is missing."""
     known = labels.where(id_remainder(F.col("doc_id"), FOLDS) != 0).where(F.col(label).isNotNull())
-    known = known.select("doc_id", F.col(label).cast("int").alias("toxic"))
+    # a document labelled in several rows takes its largest label: toxic if any row says so
+    known = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("toxic"))
     order = F.xxhash64("doc_id", F.lit(10))
     parts = [known.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(PER_CLASS) for k in (0, 1)]
     chosen = docs.select("doc_id", "text").join(F.broadcast(parts[0].union(parts[1])), "doc_id")

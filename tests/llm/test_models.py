@@ -194,3 +194,14 @@ def test_toxicity_edges(spark):
     some = spark.createDataFrame([(i, "fine words idiot" if i % 2 else "fine words") for i in range(1, 40)], DOCS)
     rows = toxicity.graded(some.unionAll(docs), labels).collect()
     assert len(rows) == 43 and all(0 <= r.expected_severity <= 3 for r in rows)
+
+
+def test_toxicity_conflicting_labels_take_the_largest(spark):
+    some = spark.createDataFrame([(i, "fine words idiot" if i % 2 else "fine words") for i in range(1, 40)], DOCS)
+    rows = [(i, 1, int(i % 2)) for i in range(1, 40)]
+    clash = [(2, 1, 1), (4, 1, 1)]
+    one = spark.createDataFrame(rows + clash, LABELS)
+    other = spark.createDataFrame(clash + rows[::-1], LABELS).repartition(3)
+    first = {r.doc_id: r.expected_severity for r in toxicity.graded(some, one).collect()}
+    second = {r.doc_id: r.expected_severity for r in toxicity.graded(some, other).collect()}
+    assert first == second
