@@ -40,6 +40,7 @@ NEUTRAL = ("Dr.", "Dr", "Prof.")
 SYLLABLES = {
     "latin": "ba be bi bo da de di do fa fe fi fo ga ge ka ke ki ko la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se si so ta te ti to va ve vi vo za ze".split(),
     "cyrillic": "ба бе би бо да де ди до га ге ка ке ки ко ла ле ли ло ма ме ми мо на не ни но па пе ра ре ри ро са се си со та те ти то ва ве ви во за зе".split(),
+    "greek": "βα βε βι βο δα δε δι δο γα γε κα κε κι κο λα λε λι λο μα με μι μο να νε νι νο πα πε ρα ρε ρι ρο σα σε σι σο τα τε τι το φα φε φι φο ζα ζε".split(),
 }
 #: Letters by script, in lower case, beside a to z.
 ALPHABETS = {"Cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "Greek": "αβγδεζηθικλμνξοπρστυφχψω"}
@@ -48,6 +49,7 @@ WIDER = 16
 ENDINGS = {
     ("latin", "male"): "n", ("latin", "female"): "a", ("latin", "any"): "s",
     ("cyrillic", "male"): "ов", ("cyrillic", "female"): "ова", ("cyrillic", "any"): "ко",
+    ("greek", "male"): "ος", ("greek", "female"): "α", ("greek", "any"): "ης",
 }
 
 
@@ -130,23 +132,31 @@ def _card(value: str, stream: str) -> str:
     return f"CASE WHEN {_luhn(digits)} = 0 THEN concat({front}, cast((10 - {_luhn(short)}) % 10 AS string)) ELSE {made} END"
 
 
-def _name(value: str, stream: str, nonce: str) -> str:
-    """SQL: title kept, each word of the name made of syllables of its script, with an ending of the title's gender."""
+def _name(value: str, key: str, nonce: str) -> str:
+    """SQL: title kept, each word of the name made of syllables of its script, with an ending of the title's gender.
+
+    A word's syllables come from a keyed hash of the word alone, so a surname
+    has one stem after every title and in every document.
+    """
+    stream = "hw"
 
     def word(script: str) -> str:
         parts = SYLLABLES[script]
         pool = f"array({', '.join(map(sql_text, parts))})"
-        picks = [f"get({pool}, ({_number(stream, f'3 * j + {k}')} + 256 * {_number(stream, f'31 + 3 * j + {k}')}) % {len(parts)})" for k in range(3)]
+        picks = [f"get({pool}, ({_number(stream, str(k))} + 256 * {_number(stream, str(31 + k))}) % {len(parts)})" for k in range(3)]
         gender = " ".join(
             f"WHEN title IN ({', '.join(map(sql_text, names))}) THEN {sql_text(ENDINGS[script, g])}"
             for g, names in (("male", MALE), ("female", FEMALE))
         )
-        at = _number(stream, "7 + 17 * e + 5 * j")
+        at = _number(stream, "7 + 17 * e")
         # array_repeat, as a sequence can't be empty
         more = f"array_join(transform(array_repeat(0, cast({nonce} div {WIDER} AS int)), (z, e) -> get({pool}, {at} % {len(parts)})), '')"
-        return f"initcap(concat({', '.join(picks)}, {more}, CASE {gender} ELSE {sql_text(ENDINGS[script, 'any'])} END))"
+        made = f"initcap(concat({', '.join(picks)}, {more}, CASE {gender} ELSE {sql_text(ENDINGS[script, 'any'])} END))"
+        seed = f"sha2(concat_ws('|', {sql_text(key)}, 'name', w, {nonce}), 512)"
+        return f"element_at(transform(array({seed}), hw -> {made}), 1)"
 
-    made = rf"CASE WHEN w RLIKE '^[ -]$' THEN w WHEN w RLIKE '\\p{{IsCyrillic}}' THEN {word('cyrillic')} ELSE {word('latin')} END"
+    made = rf"""CASE WHEN w RLIKE '^[ -]$' THEN w WHEN w RLIKE '\\p{{IsCyrillic}}' THEN {word('cyrillic')}
+        WHEN w RLIKE '\\p{{IsGreek}}' THEN {word('greek')} ELSE {word('latin')} END"""
     title = f"substring_index({value}, ' ', 1)"
     rest = f"split(substr({value}, length({title}) + 2), '(?<=[ -])|(?=[ -])')"
     # the title is bound to a name for the inner expression
@@ -164,7 +174,7 @@ def surrogate_sql(value: str, kind: str, nonce: str, key: str) -> str:
         "email": f"concat({_like(f'substring_index({value}, {sql_text(chr(46))}, size(split({value}, {sql_text("[.]")})) - 1)', 'h')}, '.', substring_index({value}, '.', -1))",
         "iban": f"concat(substr({value}, 1, 2), {_like(f'substr({value}, 3)', 'h')})",
         "key": f"CASE WHEN {value} RLIKE '^[0-9a-fA-F]+$' THEN {_hex_like(value, 'h')} ELSE {_like(value, 'h', '4')} END",
-        "name": _name(value, "h", nonce),
+        "name": _name(value, key, nonce),
     }
     made["ssn"] = made["secret"] = _like(value, "h")
     # what a surrogate grows by: hexadecimal digits of the hash as digits or as letters
@@ -210,8 +220,12 @@ def moved_entities(entities: DataFrame, key: str) -> DataFrame:
 def with_surrogates(docs: DataFrame, text: str = "text", key: str = "surrogates") -> DataFrame:
     """``docs`` with entities of ``text`` replaced, and ``n_entities``.
 
-    ``n_entities`` takes the place of a column of that name; other columns keep
-    their names, whatever they are.
+    A word of a titled name, wherever it stands again in the same text, alone or
+    after another title (as in "Dr. Anna Kovacs ... Kovacs said ... Ms. Kovacs"),
+    becomes the surrogate word of its first titled mention, so one person keeps
+    one name within a document.  ``n_entities`` counts the
+    entities the patterns find, and takes the place of a column of that name;
+    other columns keep their names, whatever they are.
     """
     found, moved, own_text, made, out = (private(docs, f"pii_{x}") for x in ("found", "moved", "text", "made", "text_out"))
     columns = [F.col(c) for c in docs.columns]
@@ -231,8 +245,20 @@ def with_surrogates(docs: DataFrame, text: str = "text", key: str = "surrogates"
     nonce = f"coalesce(element_at({moved}, concat_ws('|', e.kind, e.value)), 0)"
     surrogates = f"transform({found}, e -> {surrogate_sql('e.value', 'e.kind', nonce, key)})"
     pieces = f"split({text}, {sql_text(ANY)}, -1)"
+    # coreference: a word of a titled name, standing elsewhere in the text alone, takes the
+    # surrogate word of its first titled mention
+    after_title = lambda v: f"split(substr({v}, length(substring_index({v}, ' ', 1)) + 2), '[ -]')"
+    words = f"""flatten(transform({found}, (e, i) -> CASE WHEN e.kind = 'name' THEN
+        zip_with({after_title('e.value')}, {after_title(f'get({made}, i)')}, (w, v) -> named_struct('word', w, 'sur', v))
+        ELSE cast(array() AS array<struct<word:string,sur:string>>) END))"""
+    firsts = f"filter({words}, (x, i) -> x.word <> '' AND NOT exists(slice({words}, 1, i), y -> y.word = x.word))"
+    alone = "concat('(?<![\\\\p{L}\\\\p{N}])', m.word, '(?![\\\\p{L}\\\\p{N}])')"
+    mapped = lambda v: f"aggregate({firsts}, {v}, (acc, m) -> regexp_replace(acc, {alone}, m.sur))"
+    title = "substring_index(e.value, ' ', 1)"
+    final = f"""transform({found}, (e, i) -> CASE WHEN e.kind = 'name'
+        THEN concat({title}, ' ', {mapped(f"substr(e.value, length({title}) + 2)")}) ELSE get({made}, i) END)"""
     joined = f"""CASE WHEN size({found}) = 0 THEN {text}
-        ELSE array_join(transform({pieces}, (p, i) -> concat(p, coalesce(get({made}, i), ''))), '') END"""
+        ELSE array_join(transform({pieces}, (p, i) -> concat({mapped('p')}, coalesce(get({final}, i), ''))), '') END"""
     rows = rows.withColumn(made, F.expr(surrogates)).withColumn(out, F.expr(joined))
     kept = [F.col(out).alias(text) if c == text else F.col(c) for c in docs.columns if c != "n_entities"]
     return rows.select(*kept, F.size(found).cast("bigint").alias("n_entities"))

@@ -164,7 +164,7 @@ def test_masked_and_foreign_secrets(spark):
 
 
 def test_more_entities_than_surrogates(spark, monkeypatch):
-    monkeypatch.setattr(pii, "SYLLABLES", {"latin": ["ba", "be"], "cyrillic": ["ба", "бе"]})
+    monkeypatch.setattr(pii, "SYLLABLES", {"latin": ["ba", "be"], "cyrillic": ["ба", "бе"], "greek": ["βα", "βε"]})
     texts = [f"password: *****{d}" for d in range(10)] + [f"Mr. Q{chr(97 + i)}" for i in range(20)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     made = [r.text for r in pii.with_surrogates(docs).collect()]
@@ -216,3 +216,17 @@ def test_fingerprints_match_brute_force(spark):
     assert order_minhash.compared_with_edits(empty).count() == 0
     one = spark.createDataFrame([(1, "a b c d", "s")] * 2, DOCS)
     assert order_minhash.compared_with_edits(one).count() == 2
+
+
+def test_names_keep_one_surrogate_per_person_and_their_script(spark):
+    text = "Dr. Anna Kovacs came. Kovacs said hi. Ms. Kovacs left. Mr. Παπαδόπουλος stayed. Kovacsson too."
+    df = spark.createDataFrame([(1, text), (2, "Mr. Kovacs wrote.")], "doc_id bigint, text string")
+    out = {r.doc_id: r.text for r in pii.with_surrogates(df).collect()}
+    words = re.findall(r"\w+", out[1])
+    assert "Kovacs" not in words and "Anna" not in words and "Παπαδόπουλος" not in words and "Kovacsson" in words
+    surname = words[words.index("said") - 1]
+    assert words.count(surname) == 3 and re.fullmatch(r"[A-Z][a-z]+", surname)
+    greek = words[words.index("stayed") - 1]
+    assert all("Ͱ" <= c <= "Ͽ" for c in greek)
+    # the same word has the same stem in every document; the ending follows the title
+    assert re.findall(r"Mr\. (\w+)", out[2])[0][:-1] == surname[:-1]
