@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from patchloom.llm.shared import WORD, private, saved
 
 GROUP = 64
+#: Identical rows become rows again in pieces of this many.
+DEAL = 4096
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST_COPIES = 2.0
@@ -134,35 +136,52 @@ def mixture(
     content = ["doc_id", source, "text"]
     key = F.struct(F.xxhash64(*content).alias("a"), F.xxhash64(F.lit(1), *content).alias("b"))
     own = docs.select("doc_id", key.alias("key"), F.col(source).alias("source"), word_count().alias("size"))
-    rows = saved(own)
-    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    plan = saved(targets(sources, weights, share, most))
-    most_docs = plan.agg(F.max("n_docs")).first()[0] or 0
+    # identical rows are one item with their number m: rounded once, dealt out again at the end
+    rows = saved(own.groupBy("key", "doc_id", "source", "size").agg(F.count("*").alias("m")))
+    sources = rows.groupBy("source").agg(
+        F.sum(F.col("size") * F.col("m")).alias("source_size"), F.sum("m").alias("n_docs"), F.count("*").alias("n_items"))
+    plan = saved(targets(sources, weights, share, most).join(sources.select("source", "n_items"), ["source"], "left"))
+    plan = plan.withColumn("n_items", F.coalesce("n_items", F.lit(0)))
+    most_docs = plan.agg(F.max("n_items")).first()[0] or 0
 
     ratio = F.coalesce(F.least(F.try_divide(F.col("target"), F.col("source_size")), F.lit(most)), F.lit(0.0))
-    known = plan.select(F.col("source").alias("s"), "source_size", "target", "n_docs", ratio.alias("ratio"))
+    known = plan.select(F.col("source").alias("s"), "source_size", "target", "n_items", ratio.alias("ratio"))
     joined = rows.join(known, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    whole, part = F.floor("ratio").cast("bigint"), F.col("ratio") - F.floor("ratio")
+    expected = F.col("ratio") * F.col("m")
+    whole, part = F.floor(expected).cast("bigint"), expected - F.floor(expected)
     parts = joined.select("*", whole.alias("whole"), part.alias("part"))
 
     alone = (F.col("part") == 0) | (F.col("size") == 0)
     by_chance = F.when(_uniform(F.col("key"), F.lit(seed), F.lit(-2)) < F.col("part"), 1).otherwise(0)
-    single = parts.where(alone).select("doc_id", "key", "source", "size", (F.col("whole") + by_chance).alias("copies"))
+    single = parts.where(alone).select("doc_id", "key", "source", "size", "m", (F.col("whole") + by_chance).alias("copies"))
 
-    groups = F.ceil(F.col("n_docs") / GROUP)
+    groups = F.ceil(F.col("n_items") / GROUP)
     paired = parts.where(~alone).select(
         "source",
-        F.struct("key", "doc_id", "size").alias("row"),
+        F.struct("key", "doc_id", "size", "m", "whole").alias("row"),
         F.col("size").cast("double").alias("size"),
         "part",
         F.pmod(F.xxhash64("key", F.lit(seed)), groups).alias("grp"),
     )
-    decided = _round_all(paired, most_docs, seed).join(
-        known.select("s", F.floor("ratio").cast("bigint").alias("whole")), F.col("source").eqNullSafe(F.col("s"))
-    )
-    drawn = decided.select("row.doc_id", "row.key", "source", "row.size", (F.col("whole") + F.col("part")).alias("copies"))
-    rows = single.unionByName(drawn).join(known.select("s", "source_size", "target"), F.col("source").eqNullSafe(F.col("s")))
-    return rows.drop("s")
+    decided = _round_all(paired, most_docs, seed)
+    drawn = decided.select("row.doc_id", "row.key", "source", "row.size", "row.m", (F.col("row.whole") + F.col("part")).alias("copies"))
+    items = single.unionByName(drawn)
+    return _dealt(items).join(known.select("s", "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+
+
+def _dealt(items: DataFrame) -> DataFrame:
+    """One row per row an item stands for; its copies dealt as evenly as they go (at most one apart).
+
+    An item of many identical rows is cut into pieces of ``DEAL`` rows that a
+    shuffle spreads over tasks before they become rows.
+    """
+    pieces = items.withColumn("piece", F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / DEAL).cast("int") - 1)))
+    pieces = pieces.repartition(F.xxhash64("key", "piece"))
+    first = F.col("piece") * DEAL
+    at = F.explode(F.sequence(first, F.least(first + DEAL, F.col("m")) - 1)).alias("at")
+    rows = pieces.select("doc_id", "key", "source", "size", "m", "copies", at)
+    share = F.floor(F.col("copies") / F.col("m")) + F.when(F.col("at") < F.col("copies") % F.col("m"), 1).otherwise(0)
+    return rows.select("doc_id", "key", "source", "size", share.cast("bigint").alias("copies"))
 
 
 def mixed_sizes(docs: DataFrame) -> DataFrame:

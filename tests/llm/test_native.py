@@ -230,3 +230,16 @@ def test_names_keep_one_surrogate_per_person_and_their_script(spark):
     assert all("Ͱ" <= c <= "Ͽ" for c in greek)
     # the same word has the same stem in every document; the ending follows the title
     assert re.findall(r"Mr\. (\w+)", out[2])[0][:-1] == surname[:-1]
+
+
+def test_mix_of_a_hot_group_of_identical_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "DEAL", 100)
+    rows = [(1, "same words here", "a")] * 2500 + [(i, "w " * (i % 5 + 1), "b" if i % 2 else None) for i in range(2, 400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mixing.mixed_sizes(df.repartition(5)).collect()
+    assert len(got) == len(rows) and all(r.taken <= 2 * r.size for r in got)
+    hot = [r for r in got if r.doc_id == 1]
+    assert len(hot) == 2500 and max(r.taken for r in hot) - min(r.taken for r in hot) <= hot[0].size
+    assert abs(sum(r.taken for r in hot) - hot[0].target) <= hot[0].size
+    again = mixing.mixed_sizes(df.repartition(3)).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, got))
