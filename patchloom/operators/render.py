@@ -16,6 +16,7 @@ from patchloom.fixed_values import (
     COUNTER_LABELS,
     FORMATS,
     NO_FILE_SUMMARIES,
+    ROLLUP_FAILED,
     TEMPLATE_VARIABLES,
 )
 from patchloom.functions.text import json_string_sql
@@ -119,23 +120,36 @@ def _json_list(items: str, indent: int) -> str:
     )
 
 
-def as_json() -> Column:
-    """JSON with an indent of two; only quotes, backslashes and control codes are escaped."""
-    strings = lambda items: f"transform({items}, x -> {json_string_sql('x')})"
+def _json_strings(items: str) -> str:
+    return f"transform({items}, x -> {json_string_sql('x')})"
+
+
+def _json_head() -> str:
+    """The JSON up to ``"file_summaries": ``."""
     counters = ", ".join(
         f"""'    "{name}": ', statistics.{name}, '{",\\n" if name != STAT_NAMES[-1] else ""}'"""
         for name in STAT_NAMES
     )
-    file_entry = f"""concat('{{\\n      "filename": ', {json_string_sql("f.filename")},
-        ',\\n      "summary": ', {json_string_sql("f.summary")},
-        ',\\n      "key_changes": ', {_json_list(strings("f.key_changes"), 6)}, '\\n    }}')"""
-    return F.expr(
-        f"""concat('{{\\n  "overview": ', {json_string_sql("overview")},
-        ',\\n  "statistics": {{\\n', {counters},
-        '\\n  }},\\n  "file_summaries": ', {_json_list(f"transform(file_summaries, f -> {file_entry})", 2)},
-        ',\\n  "key_changes": ', {_json_list(strings("key_changes"), 2)},
-        ',\\n  "recommendations": ', {_json_list(strings("recommendations"), 2)}, '\\n}}')"""
-    )
+    return f"""concat('{{\\n  "overview": ', {json_string_sql("overview")},
+        ',\\n  "statistics": {{\\n', {counters}, '\\n  }},\\n  "file_summaries": ')"""
+
+
+def _json_file(f: str) -> str:
+    return f"""concat('{{\\n      "filename": ', {json_string_sql(f"{f}.filename")},
+        ',\\n      "summary": ', {json_string_sql(f"{f}.summary")},
+        ',\\n      "key_changes": ', {_json_list(_json_strings(f"{f}.key_changes"), 6)}, '\\n    }}')"""
+
+
+def _json_tail() -> str:
+    """The JSON after the file list."""
+    return f"""concat(',\\n  "key_changes": ', {_json_list(_json_strings("key_changes"), 2)},
+        ',\\n  "recommendations": ', {_json_list(_json_strings("recommendations"), 2)}, '\\n}}')"""
+
+
+def as_json() -> Column:
+    """JSON with an indent of two; only quotes, backslashes and control codes are escaped."""
+    files = _json_list(f"transform(file_summaries, f -> {_json_file('f')})", 2)
+    return F.expr(f"concat({_json_head()}, {files}, {_json_tail()})")
 
 
 def template_file_block(files: str = "file_summaries") -> Column:
@@ -270,8 +284,10 @@ def render_parts(
     are the text ``render`` gives.  No row holds more than one file.
     """
     layout = {"md": "markdown", "text": "plain"}.get(_checked(format_name), _checked(format_name))
+    if layout == "json":
+        return _json_parts(headers, files, keys)
     if layout not in _LAYOUTS:
-        raise ValueError("Only plain and Markdown text come in parts")
+        raise ValueError("Only plain, Markdown and JSON text come in parts")
     head, title, file_lines, tail = _LAYOUTS[layout]
     titled = f"CASE WHEN statistics.total_files > 0 THEN concat({head}, {title}) ELSE {head} END"
     last = f"CASE WHEN size(recommendations) > 0 THEN {_joined(tail)} END"
@@ -285,3 +301,36 @@ def render_parts(
         *keys, F.col("file_seq").alias("part"), F.struct("filename", "summary", "key_changes").alias("f")
     )
     return around.unionByName(rows.select(*keys, "part", F.expr(f"{_joined(file_lines)} AS text")))
+
+
+#: Parts of one change set's file list are matched to it over this many salts.
+SALTS = 16
+
+
+def _json_parts(headers: DataFrame, files: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """JSON in pieces: the head up to the file list, one piece per file, the tail.
+
+    A file's piece ends with a comma unless it is its change set's last; that
+    number comes from one small row per change set, matched to the files over
+    ``SALTS`` salts so that a change set of very many files is no single task.
+    Change sets whose roll-up failed list no file, as in ``render``.
+    """
+    failed = F.col("overview") == ROLLUP_FAILED
+    last = files.groupBy(*keys).agg(F.max("file_seq").alias("last_seq"))
+    each = headers.select(*keys, failed.alias("failed")).join(last, list(keys), "left")
+    each = each.withColumn("listed", ~F.col("failed") & F.col("last_seq").isNotNull())
+    empty = F.array().cast("array<struct<filename:string,summary:string,key_changes:array<string>>>")
+    opened = headers.join(each.select(*keys, "listed"), list(keys))
+    whole = F.expr(f"concat({_json_head()}, '[]', {_json_tail()})")
+    head = F.when(F.col("listed"), F.expr(f"concat({_json_head()}, '[')")).otherwise(whole)
+    tail = F.when(F.col("listed"), F.expr(f"concat('  ]', {_json_tail()})"))
+    ends = opened.withColumn("file_summaries", empty).select(
+        *keys, F.inline(F.array(F.struct(F.lit(0).cast("bigint").alias("part"), head.alias("text")),
+                                F.struct(F.lit((1 << 63) - 1).cast("bigint").alias("part"), tail.alias("text")))))
+    salted = files.withColumn("salt", F.pmod(F.col("file_seq"), F.lit(SALTS)))
+    spread = each.where("listed").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = salted.join(spread.select(*keys, "salt", "last_seq"), [*keys, "salt"])
+    entry = F.expr(f"concat('    ', {_json_file('struct(filename, summary, key_changes)')},"
+                   " CASE WHEN file_seq < last_seq THEN ',' ELSE '' END)")
+    pieces = placed.select(*keys, F.col("file_seq").alias("part"), entry.alias("text"))
+    return ends.where(F.col("text").isNotNull()).unionByName(pieces)

@@ -126,3 +126,19 @@ def test_each_section_is_decoded_on_its_own(spark, tmp_path):
     rows = number_files(files_from_sections(read_patch_sections(spark, str(folder)), SECTION_KEYS))
     got = sorted((r.file_seq, r.filename, list(r.added_lines)) for r in rows.collect())
     assert got == [(1, "é.py", ["x = 'é'"]), (2, "é.py", ["x = 'é'"])]
+
+
+def test_json_comes_in_parts(spark, monkeypatch):
+    from patchloom.operators import render as render_module
+
+    monkeypatch.setattr(render_module, "SALTS", 3)
+    diffs = spark.createDataFrame([(1, A + B * 50), (2, B), (3, "no diff here")], "diff_id bigint, diff_text string")
+    analysis = analyze_files(parse_files(diffs, keep_empty=True), keep_empty=True)
+    parts = render_parts(summarize(analysis, known_purposes=True, with_files=False), file_summaries(analysis), "json")
+    joined = {}
+    for r in parts.orderBy("diff_id", "part").collect():
+        joined.setdefault(r.diff_id, []).append(r.text)
+    whole = {r.diff_id: r.rendered for r in render_diffs(diffs, "json").collect()}
+    assert {k: "\n".join(v) for k, v in joined.items()} == whole
+    assert len(joined[1]) == 2 + 51 and len(joined[3]) == 1
+    assert all(len(t) < 2000 for t in joined[1])

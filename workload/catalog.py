@@ -207,11 +207,11 @@ def _by_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.render_by_column(rows.withColumn("format", name))
 
 
-def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _parts(spark: SparkSession, sf_dir: str, format_name: str = "plain") -> DataFrame:
     files = parse.parse_files(diffs(spark, sf_dir), keep_empty=True)
     analysed = analysis.analyze_files(files, keep_empty=True)
     headers = summary.summarize(analysed, known_purposes=True, with_files=False)
-    return render.render_parts(headers, summary.file_summaries(analysed), "plain")
+    return render.render_parts(headers, summary.file_summaries(analysed), format_name)
 
 
 def _scratch(spark: SparkSession) -> str:
@@ -321,6 +321,7 @@ def queries() -> dict[str, Query]:
         "render_named_template": _rendered(template_name="notes", templates=NAMED_TEMPLATES),
         "render_by_column": _by_column,
         "render_parts": _parts,
+        "render_json_parts": lambda s, d: _parts(s, d, "json"),
         "template_file_block": _file_blocks,
         "patch_files": _patch_files,
         "patch_sections": _patch_sections,
@@ -380,21 +381,27 @@ def _json_text(value: str) -> str:
     return f"""('"' || replace(replace({value}, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"')"""
 
 
-def _json_sql() -> str:
-    def listed(items: str, pad: int) -> str:
-        gap = f"{_NL} || '{' ' * (pad + 2)}'"
-        strings = f"list_transform({items}, lambda x: {_json_text('x')})"
-        return (
-            f"CASE WHEN len({items}) = 0 THEN '[]' ELSE '[' || {gap} || array_to_string({strings}, ',' || {gap})"
-            f" || {_NL} || '{' ' * pad}]' END"
-        )
+def _json_listed(items: str, pad: int) -> str:
+    gap = f"{_NL} || '{' ' * (pad + 2)}'"
+    strings = f"list_transform({items}, lambda x: {_json_text('x')})"
+    return (
+        f"CASE WHEN len({items}) = 0 THEN '[]' ELSE '[' || {gap} || array_to_string({strings}, ',' || {gap})"
+        f" || {_NL} || '{' ' * pad}]' END"
+    )
 
-    counters = f" || ',' || {_NL} || ".join(f"""'    "{n}": ' || {n}""" for n in _COUNTERS.split(", "))
-    entry = (
-        f"""'    ' || chr(123) || {_NL} || '      "filename": ' || {_json_text("f.filename")} || ',' || {_NL}"""
-        f""" || '      "summary": ' || {_json_text("f.summary")} || ',' || {_NL}"""
-        f""" || '      "key_changes": ' || {listed("f.key_changes", 6)} || {_NL} || '    ' || chr(125)"""
+
+def _json_entry(f: str) -> str:
+    return (
+        f"""'    ' || chr(123) || {_NL} || '      "filename": ' || {_json_text(f"{f}filename")} || ',' || {_NL}"""
+        f""" || '      "summary": ' || {_json_text(f"{f}summary")} || ',' || {_NL}"""
+        f""" || '      "key_changes": ' || {_json_listed(f"{f}key_changes", 6)} || {_NL} || '    ' || chr(125)"""
     )
+
+
+def _json_text_of_summaries() -> str:
+    listed = _json_listed
+    counters = f" || ',' || {_NL} || ".join(f"""'    "{n}": ' || {n}""" for n in _COUNTERS.split(", "))
+    entry = _json_entry("f.")
     files = (
         f"CASE WHEN len(file_summaries) = 0 THEN '[]' ELSE '[' || {_NL} || array_to_string("
         f"list_transform(file_summaries, lambda f: {entry}), ',' || {_NL}) || {_NL} || '  ]' END"
@@ -406,7 +413,27 @@ def _json_sql() -> str:
         f""" || '  "key_changes": ' || {listed("key_changes", 2)} || ',' || {_NL}"""
         f""" || '  "recommendations": ' || {listed("recommendations", 2)} || {_NL} || chr(125)"""
     )
-    return _summary_sql(f"SELECT diff_id, {text} AS rendered FROM summaries")
+    return text
+
+
+def _json_sql() -> str:
+    return _summary_sql(f"SELECT diff_id, {_json_text_of_summaries()} AS rendered FROM summaries")
+
+
+def _json_parts_sql() -> str:
+    """Cut the whole JSON where its file list opens and closes; one piece per listed file between."""
+    opening = """'"file_summaries": ['"""
+    closing = f"""{_NL} || '  ],' || {_NL} || '  "key_changes"'"""
+    whole = f"SELECT diff_id, file_summaries, {_json_text_of_summaries()} AS text FROM summaries"
+    return _summary_sql(
+        f"""SELECT diff_id, 0::BIGINT AS part, CASE WHEN len(file_summaries) > 0
+    THEN split_part(text, {opening}, 1) || {opening} ELSE text END AS text FROM ({whole})
+UNION ALL SELECT f.diff_id, f.file_seq, {_json_entry("f.")}
+    || CASE WHEN f.file_seq < max(f.file_seq) OVER (PARTITION BY f.diff_id) THEN ',' ELSE '' END
+  FROM file_summaries f JOIN summaries s ON s.diff_id = f.diff_id WHERE len(s.file_summaries) > 0
+UNION ALL SELECT diff_id, 9223372036854775807, '  ]' || ',' || {_NL} || '  "key_changes"' || split_part(text, {closing}, 2)
+  FROM ({whole}) WHERE len(file_summaries) > 0"""
+    )
 
 
 def _parts_sql() -> str:
@@ -549,6 +576,7 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN diff_id % 2 = 0 THEN {oracle.markdown()} ELSE {oracle.plain()} END AS rendered FROM summaries"""
         ),
         "render_parts": _parts_sql(),
+        "render_json_parts": _json_parts_sql(),
         "template_file_block": _summary_sql(f"SELECT diff_id, {oracle.file_block()} AS file_summaries FROM summaries"),
         "patch_files": _bundles_sql(),
         "patch_sections": _bundles_sql(),
