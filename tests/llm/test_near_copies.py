@@ -43,9 +43,10 @@ def test_jaccard_near_copies_finds_all(spark):
     assert simhash.keep_one(docs).count() > len(got)
 
 
-@pytest.mark.parametrize("crowd", [4, 64])
-def test_families_and_shared_passages(spark, monkeypatch, crowd):
+@pytest.mark.parametrize("crowd,busy", [(4, 256), (64, 256), (64, 2)])
+def test_families_and_shared_passages(spark, monkeypatch, crowd, busy):
     monkeypatch.setattr(near_copies, "CROWD", crowd)
+    monkeypatch.setattr(near_copies, "BUSY", busy)
     random = np.random.default_rng(3)
     passage = " ".join(f"p{k}" for k in range(30))
     rows = [(None, "a b c"), (-3, "A b  c"), (-3, "A b  c"), (-2, None), (-1, "")]
