@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from patchloom.llm.shared import LOWER, broadcast_object, cut, private, received, saved
+from patchloom.llm.shared import LOWER, broadcast_object, checked_broadcast, cut, private, received, saved
 from patchloom.llm.simhash import components
 
 SHINGLE = 5
@@ -161,13 +161,14 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
     busy = cut(ends.groupBy("node").count().where(F.col("count") > BUSY).select("node", F.lit(True).alias("is_busy")))
     salted = pairs
+    spread = cut(busy.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select("node", "salt"))
+    # busy nodes are few, a part of all pairs over BUSY; broadcast only under a counted bound
+    busy, spread = checked_broadcast(busy), checked_broadcast(spread)
     for side, other, values in (("a", "b", "x"), ("b", "a", "y")):
-        # busy nodes are few, a part of all pairs over BUSY
-        salted = salted.join(F.broadcast(busy.withColumnRenamed("node", side)), side, "left")
+        salted = salted.join(busy.withColumnRenamed("node", side), side, "left")
         salt = F.when(F.col("is_busy"), F.pmod(F.xxhash64(other), F.lit(SALTS))).otherwise(0)
         salted = salted.withColumn("salt", salt).drop("is_busy")
-        spread = busy.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select("node", "salt")
-        held = sets.join(F.broadcast(spread), "node", "left")
+        held = sets.join(spread, "node", "left")
         held = held.select(F.col("node").alias(side), F.coalesce("salt", F.lit(0)).cast("bigint").alias("salt"), F.col("tokens").alias(values))
         salted = salted.join(held, [side, "salt"]).drop("salt")
     part, whole = ALIKE
@@ -190,8 +191,8 @@ def _components(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
     few = shared.join(counts.where(F.col("c") <= CROWD).select("token"), "token")
     small = few.alias("p").join(few.alias("q"), "token").where("p.node < q.node").where(_possible("p", "q"))
     crowds = counts.where(F.col("c") > CROWD).select("token", "one")
-    # tokens of crowds are few, a part of all rows over CROWD
-    crowded = saved(shared.join(F.broadcast(crowds), "token"))
+    # tokens of crowds are few, a part of all rows over CROWD; broadcast only under a counted bound
+    crowded = saved(shared.join(checked_broadcast(crowds), "token"))
     star = crowded.alias("p").where("node <> one.node").where(_possible("p", "p.one"))
     pairs = small.select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
     pairs = cut(pairs.union(star.select(F.col("one.node").alias("a"), F.col("node").alias("b"))).distinct())
@@ -207,7 +208,7 @@ def _components(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
     labelled = cut(labelled.withColumn("root", F.coalesce("root", "node")))
     by_root = labelled.groupBy("token", "root").agg(F.count("*").alias("c"))
     major = by_root.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.count("*").alias("k"))
-    major = F.broadcast(major.where("k > 1"))
+    major = checked_broadcast(cut(major.where("k > 1")))
     open_rows = cut(labelled.join(major, "token"))
     minor = open_rows.where("root <> major").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spread = open_rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))

@@ -48,6 +48,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: A table is broadcast only up to this many rows, counted first; above, the planner joins by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def checked_broadcast(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``limit`` rows (``BROADCAST_ROWS``), else as it is."""
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if limit is None else limit) else df
+
+
 def private(df: DataFrame, name: str) -> str:
     """``name`` made longer than every column of ``df``, so an operator's own column never meets a caller's."""
     return name + "_" * (1 + max((len(c) for c in df.columns), default=0))

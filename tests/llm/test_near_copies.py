@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from patchloom.llm import shared
 from patchloom.llm import near_copies, simhash
 from patchloom.llm.shared import LOWER
 
@@ -43,10 +44,11 @@ def test_jaccard_near_copies_finds_all(spark):
     assert simhash.keep_one(docs).count() > len(got)
 
 
-@pytest.mark.parametrize("crowd,busy", [(4, 256), (64, 256), (64, 2)])
-def test_families_and_shared_passages(spark, monkeypatch, crowd, busy):
+@pytest.mark.parametrize("crowd,busy,broadcast", [(4, 256, 10**6), (64, 256, 10**6), (64, 2, 10**6), (4, 2, 0)])
+def test_families_and_shared_passages(spark, monkeypatch, crowd, busy, broadcast):
     monkeypatch.setattr(near_copies, "CROWD", crowd)
     monkeypatch.setattr(near_copies, "BUSY", busy)
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", broadcast)
     random = np.random.default_rng(3)
     passage = " ".join(f"p{k}" for k in range(30))
     rows = [(None, "a b c"), (-3, "A b  c"), (-3, "A b  c"), (-2, None), (-1, "")]
