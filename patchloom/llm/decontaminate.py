@@ -60,6 +60,10 @@ class Automaton:
     whole: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
     known: set[bytes] = field(default_factory=set)
     shortest: int = 0
+    #: Per state, the nearest state up its suffix chain (itself included) that holds a window or ends a
+    #: short item; 0 where none does.  A chain holds at most one window state and one such state per
+    #: length below the window, so reporting a word visits a bounded number of states.
+    jump: list[int] = field(default_factory=list)
 
     def _state(self, length: int, link: int, following: dict[bytes, int]) -> int:
         self.length.append(length)
@@ -111,6 +115,10 @@ class Automaton:
                 self.whole.setdefault(at, []).append((len(words), number))
         sizes = [min(len(x), self.window) for x in texts if x]
         self.shortest = min(sizes, default=0)
+        self.jump = [0] * len(self.length)
+        for state in sorted(range(1, len(self.length)), key=self.length.__getitem__):
+            held = bool(self.items[state]) or state in self.whole
+            self.jump[state] = state if held else self.jump[self.link[state]]
         return self
 
     def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
@@ -130,16 +138,16 @@ class Automaton:
                 if word in self.following[at]:
                     at = self.following[at][word]
                     size += 1
-                widest, up = 0, at
+                widest, up = 0, self.jump[at]
                 while up > 0:
-                    if size >= self.window and self.length[self.link[up]] < self.window <= self.length[up]:
+                    if size >= self.window and self.items[up]:
                         widest = self.window
                         found |= self.items[up]
                     for length, number in self.whole.get(up, ()):
                         if length <= size:
                             widest = max(widest, length)
                             found.add(number)
-                    up = self.link[up]
+                    up = self.jump[self.link[up]]
                 if widest:
                     start = place + 1 - widest
                     while ranges and ranges[-1][1] >= start:
