@@ -46,6 +46,10 @@ RATIO = 1.25
 BLOCK_ROWS = 2048
 QUERY_ROWS = 1024
 PILOT_BLOCKS = 4
+#: The table of blocks is broadcast up to this many rows (counted); beyond, queries meet blocks by
+#: (bucket, part) keys with about ``BLOCKS_PER_KEY`` blocks under a key, so no bucket is one task.
+BROADCAST_BLOCKS = 20_000
+BLOCKS_PER_KEY = 64
 #: Relative slack that keeps floating-point bounds on the safe side; products are verified exactly.
 SLACK = 1e-9
 
@@ -221,7 +225,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
     open_bucket = lambda b: F.col("theta").isNull() | (
         F.col("qnorm") * b.largest * (1 + SLACK) + 1 >= F.col("theta"))
     pairs = bounded.withColumn("bucket", F.explode(F.transform(F.filter(reach, open_bucket), lambda b: b.bucket)))
-    pairs = pairs.join(stats, "bucket").where(~F.col("block").isin(pilots))
+    n_blocks = stats.count()
+    if n_blocks <= BROADCAST_BLOCKS:
+        pairs = pairs.join(F.broadcast(stats), "bucket")
+    else:
+        parts = max(1, math.ceil(n_blocks / (BLOCKS_PER_KEY * len(buckets))))
+        keyed = stats.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts)))
+        pairs = pairs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
+        pairs = pairs.join(keyed, ["bucket", "part"]).drop("part")
+    pairs = pairs.where(~F.col("block").isin(pilots))
     reachable = F.col("theta").isNull() | (
         (F.col("qnorm") * F.col("largest") * (1 + SLACK) + 1 >= F.col("theta"))
         & (_box_bound("ints", "lo", "hi") + 1 >= F.col("theta")))

@@ -34,7 +34,10 @@ def small_blocks(monkeypatch):
     monkeypatch.setattr(topk_search, "PILOT_BLOCKS", 1)
 
 
-def test_random_vectors_in_many_blocks(spark, small_blocks):
+@pytest.mark.parametrize("broadcast", [20_000, 0])
+def test_random_vectors_in_many_blocks(spark, small_blocks, monkeypatch, broadcast):
+    monkeypatch.setattr(topk_search, "BROADCAST_BLOCKS", broadcast)
+    monkeypatch.setattr(topk_search, "BLOCKS_PER_KEY", 2)
     random = np.random.default_rng(3)
     rows = []
     for i in range(700):
