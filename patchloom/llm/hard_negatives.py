@@ -48,6 +48,10 @@ K = 5
 LEAF_ROWS = 1024
 ANCHOR_ROWS = 1024
 GRID = 256
+#: A level's nodes are broadcast up to this many rows (counted); beyond, asks meet them over ``SALTS``
+#: salts, so the asks under one parent (a label's root holds all of its anchors) are no single task.
+BROADCAST_NODES = 20_000
+SALTS = 32
 SLACK = 1e-9
 
 FOUND = "anchor_id long, key long, vec_id long, score long"
@@ -126,9 +130,15 @@ def _descend(asks: DataFrame, nodes: DataFrame, level: int, chunks: int) -> Data
         # the roots, one per label, go to every chunk of anchors: a stated query set against all rows
         children = children.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)).cast("array<bigint>")))
         joined = asks.join(children.drop("parent"), "chunk")
-    else:
-        joined = asks.join(children.withColumnRenamed("node", "child"), asks["node"] == children["parent"])
+    elif children.count() <= BROADCAST_NODES:
+        joined = asks.join(F.broadcast(children.withColumnRenamed("node", "child")), asks["node"] == children["parent"])
         joined = joined.drop("node", "parent").withColumnRenamed("child", "node")
+    else:
+        salted = children.withColumnRenamed("node", "child").withColumn(
+            "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+        spread = asks.withColumn("salt", F.pmod(F.col("anchor_row"), F.lit(SALTS)))
+        joined = spread.join(salted, (spread["node"] == salted["parent"]) & (spread["salt"] == salted["salt"]))
+        joined = joined.drop("node", "parent", "salt").withColumnRenamed("child", "node")
     low, high = _bounds("ints")
     joined = joined.withColumn("b_low", low).withColumn("b_high", high)
     fits = F.when(F.col("same"), F.col("label") == F.col("a_label")).otherwise(F.col("label") != F.col("a_label"))

@@ -39,7 +39,10 @@ def small_leaves(monkeypatch):
     monkeypatch.setattr(hard_negatives, "ANCHOR_ROWS", 2)
 
 
-def test_random_vectors_in_many_leaves(spark, small_leaves):
+@pytest.mark.parametrize("broadcast", [20_000, 0])
+def test_random_vectors_in_many_leaves(spark, small_leaves, monkeypatch, broadcast):
+    monkeypatch.setattr(hard_negatives, "BROADCAST_NODES", broadcast)
+    monkeypatch.setattr(hard_negatives, "SALTS", 3)
     random = np.random.default_rng(5)
     rows = []
     for i in range(900):
