@@ -205,3 +205,52 @@ def test_toxicity_conflicting_labels_take_the_largest(spark):
     first = {r.doc_id: r.expected_severity for r in toxicity.graded(some, one).collect()}
     second = {r.doc_id: r.expected_severity for r in toxicity.graded(some, other).collect()}
     assert first == second
+
+
+def folds(n):
+    """The first ``n`` training ids and the first ``n`` held-out ids."""
+    held = [i for i in range(40 * n) if zlib.crc32(str(i).encode()) % 10 == 0]
+    return [i for i in range(40 * n) if i not in held][:n], held[:n]
+
+
+def test_words_beyond_the_lexicon_cost_by_their_count(spark, monkeypatch):
+    monkeypatch.setattr(context_mixing, "LEXICON", 4)
+    train, held = folds(60)
+    docs = [(i, "a b c d " * 5 + "often once%d" % i + (" pair" if k < 2 else "")) for k, i in enumerate(train)]
+    docs += [(held[0], "a often b"), (held[1], "a pair b"), (held[2], "a fresh b"), (held[3], "a once%d b" % train[0])]
+    rows = {r.doc_id: r for r in context_mixing.scored(spark.createDataFrame(docs, DOCS)).collect()}
+    often, pair, fresh, once = (rows[i].score for i in held[:4])
+    assert often - pair == pytest.approx(np.log10(60 / 2))
+    # what is seen once tells how often a new word comes: both are spelled
+    assert fresh < pair and once < pair
+
+
+def test_weights_and_classes_come_from_every_training_document(spark):
+    words = [f"w{k % 7} v{k % 11}" for k in range(60)]
+    docs = [(i, " ".join(words[i % 13 :] * (1 + i % 5))) for i in range(3000)]
+    vocabulary = sorted({w.encode() for x in words for w in x.split()})
+    model = context_mixing.Model(vocabulary, np.full(18, 9), np.arange(18) % 8, 3000, 0)
+    fit = context_mixing.Fit(model.weights)
+    total = model.seen((t.encode() for _, t in docs), fit)
+    table, weights = context_mixing._learnt(spark.createDataFrame(docs, DOCS).coalesce(1), model)
+    assert (table == context_mixing.quantised(*total)).all()
+    assert np.allclose(weights, fit.weights, atol=2 / context_mixing.WHOLE) and (weights != model.weights).any()
+    assert fit.uses.sum() * (context_mixing.CONTEXTS + 1) == total.sum()
+    # five documents of 3,000 are of another kind
+    kinds = [(i, "zoo yak xyz" if i % 600 == 0 else "abc bad cab") for i in range(3000)]
+    groups = context_mixing._grouping(spark.createDataFrame(kinds, DOCS).selectExpr("*", "false AS held_out"))
+    assert groups.class_of(b"zoo yak") != groups.class_of(b"abc bad") and len(groups.centres) == 2
+
+
+def test_lexicon_finds_words_by_all_their_bytes():
+    words = [b"a", b"a\0", b"\0", b"abcdefgh", b"abcdefghi", b"x" * 16, b"x" * 17, b"x" * 40, "é".encode()]
+    words += [b"n%d" % k for k in range(500)]
+    texts = [b"A a\0 \0 b\0 b", b"", b" \t\x0b", b" ".join(words + [b"abcdefg", b"x" * 18, b"n0\0", b"b"]) + b"\n"]
+    for known in (words, []):
+        number, size = context_mixing.Lexicon(known).numbers(texts)
+        of, new, expected = {w: i for i, w in enumerate(known)}, {}, []
+        for text in texts:
+            for w in text.translate(LOWER).split():
+                expected.append(of[w] if w in of else new.setdefault(w, len(known) + 1 + len(new)))
+            expected.append(len(known))
+        assert number.tolist() == expected and size.tolist() == [len(t.split()) + 1 for t in texts]
