@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from string import Formatter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchloom.fixed_values import (
@@ -310,27 +310,36 @@ SALTS = 16
 def _json_parts(headers: DataFrame, files: DataFrame, keys: Sequence[str]) -> DataFrame:
     """JSON in pieces: the head up to the file list, one piece per file, the tail.
 
-    A file's piece ends with a comma unless it is its change set's last; that
-    number comes from one small row per change set, matched to the files over
-    ``SALTS`` salts so that a change set of very many files is no single task.
-    Change sets whose roll-up failed list no file, as in ``render``.
+    A file's piece ends with a comma unless it is its change set's last.  Files
+    meet their header over ``SALTS`` salts, so that a change set of very many
+    files is no single task; the last file of each salt then meets the others
+    and the header's own row, which no file's salt shares.  So headers and files
+    are each computed once.  Change sets whose roll-up failed list no file, as
+    in ``render``.
     """
-    failed = F.col("overview") == ROLLUP_FAILED
-    last = files.groupBy(*keys).agg(F.max("file_seq").alias("last_seq"))
-    each = headers.select(*keys, failed.alias("failed")).join(last, list(keys), "left")
-    each = each.withColumn("listed", ~F.col("failed") & F.col("last_seq").isNotNull())
-    empty = F.array().cast("array<struct<filename:string,summary:string,key_changes:array<string>>>")
-    opened = headers.join(each.select(*keys, "listed"), list(keys))
-    whole = F.expr(f"concat({_json_head()}, '[]', {_json_tail()})")
-    head = F.when(F.col("listed"), F.expr(f"concat({_json_head()}, '[')")).otherwise(whole)
-    tail = F.when(F.col("listed"), F.expr(f"concat('  ]', {_json_tail()})"))
-    ends = opened.withColumn("file_summaries", empty).select(
-        *keys, F.inline(F.array(F.struct(F.lit(0).cast("bigint").alias("part"), head.alias("text")),
-                                F.struct(F.lit((1 << 63) - 1).cast("bigint").alias("part"), tail.alias("text")))))
-    salted = files.withColumn("salt", F.pmod(F.col("file_seq"), F.lit(SALTS)))
-    spread = each.where("listed").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    placed = salted.join(spread.select(*keys, "salt", "last_seq"), [*keys, "salt"])
-    entry = F.expr(f"concat('    ', {_json_file('struct(filename, summary, key_changes)')},"
-                   " CASE WHEN file_seq < last_seq THEN ',' ELSE '' END)")
-    pieces = placed.select(*keys, F.col("file_seq").alias("part"), entry.alias("text"))
-    return ends.where(F.col("text").isNotNull()).unionByName(pieces)
+    for key in keys:
+        headers, files = headers.where(F.col(key).isNotNull()), files.where(F.col(key).isNotNull())
+    opened = headers.select(
+        *keys, F.expr(_json_head()).alias("opening"), F.expr(_json_tail()).alias("closing"),
+        (F.col("overview") == ROLLUP_FAILED).alias("failed"), F.explode(F.sequence(F.lit(-1), F.lit(SALTS - 1))).alias("salt"))
+    alone = F.col("salt") < 0
+    texts = [F.when(alone, F.col(name)).alias(name) for name in ("opening", "closing")]
+    entry = F.expr(f"concat('    ', {_json_file('struct(filename, summary, key_changes)')})").alias("entry")
+    salt = F.pmod("file_seq", F.lit(SALTS)).cast("int").alias("salt")
+    rows = opened.select(*keys, "salt", "failed", *texts).unionByName(
+        files.select(*keys, salt, "file_seq", entry), allowMissingColumns=True)
+    salted, placed = Window.partitionBy(*keys, "salt"), Window.partitionBy(*keys, "place")
+    rows = rows.withColumn("failed", F.max("failed").over(salted))
+    ahead = F.col("file_seq") < F.max("file_seq").over(salted)
+    rows = rows.withColumn("place", F.when(ahead, F.col("salt")).otherwise(-1))
+    rows = rows.where(F.col("failed").isNotNull() & (alone | F.col("file_seq").isNotNull()))
+    rows = rows.withColumn("last_seq", F.max("file_seq").over(placed))
+    listed = ~F.col("failed") & F.col("last_seq").isNotNull()
+    comma = F.when((F.col("place") >= 0) | (F.col("file_seq") < F.col("last_seq")), ",").otherwise("")
+    head = F.when(listed, F.concat("opening", F.lit("["))).otherwise(F.concat("opening", F.lit("[]"), "closing"))
+    tail = F.when(listed, F.concat(F.lit("  ]"), "closing"))
+    part = lambda number, text: F.struct(number.cast("bigint").alias("part"), text.alias("text"))
+    ends = F.array(part(F.lit(0), head), part(F.lit((1 << 63) - 1), tail))
+    piece = F.when(~F.col("failed"), F.concat("entry", comma))
+    parts = F.when(alone, ends).otherwise(F.array(part(F.col("file_seq"), piece)))
+    return rows.select(*keys, F.inline(parts)).where(F.col("text").isNotNull())

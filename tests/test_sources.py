@@ -142,3 +142,25 @@ def test_json_comes_in_parts(spark, monkeypatch):
     assert {k: "\n".join(v) for k, v in joined.items()} == whole
     assert len(joined[1]) == 2 + 51 and len(joined[3]) == 1
     assert all(len(t) < 2000 for t in joined[1])
+
+
+def test_json_parts_compute_headers_and_files_once(spark, monkeypatch, capsys):
+    from patchloom.operators import render as render_module
+
+    monkeypatch.setattr(render_module, "SALTS", 3)
+    statistics = "struct<total_files bigint, files_added bigint, files_modified bigint, files_deleted bigint,"
+    statistics = statistics.replace(" bigint", ": bigint") + "total_lines_added: bigint, total_lines_removed: bigint>"
+    columns = f"diff_id bigint, overview string, statistics {statistics}, key_changes array<string>, recommendations array<string>"
+    failed = render_module.ROLLUP_FAILED
+    rows = [(i, failed if i == 2 else "o", (3, 0, 0, 0, 0, 0), [], []) for i in (1, 2, 3, 4, None)]
+    headers = spark.createDataFrame(rows, columns)
+    listed = [(1, n, f"f{n}", "s", []) for n in range(1, 8)] + [(2, 1, "f", "s", []), (3, 5, "f", "s", []), (9, 1, "f", "s", [])]
+    files = spark.createDataFrame(listed, "diff_id bigint, file_seq bigint, filename string, summary string, key_changes array<string>")
+    parts = render_parts(headers, files, "json")
+    parts.explain()
+    assert capsys.readouterr().out.count("ExistingRDD") == 2
+    found = {}
+    for r in parts.orderBy("diff_id", "part").collect():
+        found.setdefault(r.diff_id, []).append(r.text)
+    assert {k: len(v) for k, v in found.items()} == {1: 9, 2: 1, 3: 3, 4: 1}
+    assert [t.endswith(",") for t in found[1][1:-1]] == [True] * 6 + [False] and not found[3][1].endswith(",")
